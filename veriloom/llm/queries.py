@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import language, truncation
+from veriloom.llm import language, pairs, truncation
 from veriloom.sources.tables import load
 
 FIELDS = ["question", "complex_cot", "response"]
@@ -23,6 +23,11 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.distinct_segments(_segments(spark, d)).drop("declared").withColumnRenamed("id", "sft_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    df = load(spark, d, "sft", "sft_id", "lang", *FIELDS)
+    return pairs.defects(df, "sft_id", "lang", "question", ["complex_cot", "response"]).withColumnRenamed("id", "sft_id")
+
+
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
     sft = load(spark, d, "sft").select(F.lit("sft").alias("tbl"), F.col("sft_id").alias("record_id"), "source", F.col("complex_cot").alias("text"))
     pred = load(spark, d, "prediction").select(F.lit("prediction").alias("tbl"), F.col("prediction_id").alias("record_id"), "source", F.col("output").alias("text"))
@@ -41,5 +46,5 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_cuts(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates}
+QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates}
 ORACLE: dict[str, str] = {}

@@ -30,7 +30,7 @@ _BLANK = r"[\s\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\x{a0}\x{3000}]"
 _END_MARK = r"(</?s?>?|<\|[a-z_]*\|?>?)"
 _STOP = r"[.!?。！？]"
 _CLOSER = r"""["'”’»」』）)\]】*_]"""
-_PLACEHOLDER = r"(?i)^[\W_]*(n/?a|tbd|todo|null|none|nil|no answer|unknown|empty|无|暂无|待定)?[\W_]*$"
+_PLACEHOLDER = r"(?iU)^[\W_]*(n/?a|tbd|todo|null|none|nil|no answer|unknown|empty|无|暂无|待定)?[\W_]*$"
 _HEADING = r"(?m)^\h*#{1,6}(\h.*)?$"
 _ASIDE = r"^\h*([-*•]|\d+[.)]|#{1,6})\h"
 _BOXED = r"(^|[\s.。!?])\*\*[^*]+\*\*$|^\h*(\*\*.*\*\*|\[.*\]|=>.*[)）]|[(（].*[)）])$|[:：]\h*[(（]?[A-N][)）]$"
