@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import language, pairs, truncation
+from veriloom.llm import language, neardup, pairs, truncation
 from veriloom.sources.tables import load
 
 FIELDS = ["question", "complex_cot", "response"]
@@ -23,6 +23,16 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.distinct_segments(_segments(spark, d)).drop("declared").withColumnRenamed("id", "sft_id")
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    mcq = load(spark, d, "mcq").select(F.lit("mcq").alias("tbl"), F.col("process_id").alias("id"), F.col("question").alias("text"))
+    ver = load(spark, d, "verifiable").select(F.lit("verifiable").alias("tbl"), F.col("process_id").alias("id"), F.col("open_question").alias("text"))
+    return mcq.unionByName(ver)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.all_pairs(*neardup.links(_questions(spark, d)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "sft", "sft_id", "lang", *FIELDS)
     return pairs.defects(df, "sft_id", "lang", "question", ["complex_cot", "response"]).withColumnRenamed("id", "sft_id")
@@ -46,5 +56,5 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_cuts(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates}
+QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates}
 ORACLE: dict[str, str] = {}
