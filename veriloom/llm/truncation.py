@@ -18,14 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.session import materialise
+
 MIN_LIMIT = 8  # texts of one length before it can be a limit
 MIN_CHARS = 20  # shorter lengths are no limits
 LIMIT_RATIO = 4.0  # times the mean of the lengths around
 AROUND = 20  # lengths to either side
 MIN_KNOWN = 3  # occurrences inside texts that make a word known
+MAX_EMPTY = 400  # characters of a text that may be a placeholder
+TAIL = 300  # characters at the end that hold all of a closing mark or label
 MAX_WORD = 40  # characters of a word that the trie takes; longer ones are not words
 
 # Blanks that may trail a text, marks that end a generation, sentence ends and what may close them.
+_BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u200b\u200c\u200d\u2060\ufeff\u3000"
 _BLANK = r"[\s\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}\x{a0}\x{3000}]"
 _END_MARK = r"(</?s?>?|<\|[a-z_]*\|?>?)"
 _STOP = r"[.!?。！？]"
@@ -33,46 +38,58 @@ _CLOSER = r"""["'”’»」』）)\]】*_]"""
 _PLACEHOLDER = r"(?iU)^[\W_]*(n/?a|tbd|todo|null|none|nil|no answer|unknown|empty|无|暂无|待定)?[\W_]*$"
 _HEADING = r"(?m)^\h*#{1,6}(\h.*)?$"
 _ASIDE = r"^\h*([-*•]|\d+[.)]|#{1,6})\h"
-_BOXED = r"(^|[\s.。!?])\*\*[^*]+\*\*$|^\h*(\*\*.*\*\*|\[.*\]|=>.*[)）]|[(（].*[)）])$|[:：]\h*[(（]?[A-N][)）]$"
+_BOLD = r"(^|[\s.。!?])\*\*[^*]+\*\*$"
+_BOXED = r"^\h*(\*\*.*\*\*|\[.*\]|=>.*[)）]|[(（].*[)）])$|[:：]\h*[(（]?[A-N][)）]$"
 
 
 def trimmed(text: Column) -> Column:
-    """The text without trailing blanks and left-over end marks."""
-    return F.regexp_replace(text, f"({_BLANK}|{_END_MARK})+$", "")
+    """The text without trailing blanks and left-over end marks (up to three of them)."""
+    t = F.rtrim(text, F.lit(_BLANKS))
+    for _ in range(3):
+        t = F.when(F.right(t, F.lit(20)).rlike(f"{_END_MARK}$"), F.rtrim(F.regexp_replace(t, f"{_END_MARK}$", ""), F.lit(_BLANKS))).otherwise(t)
+    return t
 
 
 def is_empty(text: Column) -> Column:
     """Whether there is nothing but blanks, headings or a placeholder. A null text is empty."""
     body = F.regexp_replace(F.regexp_replace(text, _HEADING, ""), _BLANK, " ")
-    return text.isNull() | body.rlike(_PLACEHOLDER) | ~body.rlike(r"[\p{L}\p{N}]")
-
-
-def ending(text: Column) -> Column:
-    """How the trimmed text ends: whole, mark, broken, aside, number or open."""
-    t = trimmed(text)
-    line = F.regexp_extract(t, r"[^\n]*$", 0)
-    return (
-        F.when(t.rlike(r"\x{fffd}$"), "broken")
-        .when(t.rlike(r"(…|\.\.\.)$"), "mark")
-        .when(line.rlike(_BOXED), "whole")
-        .when(t.rlike(r"\d\.$"), "number")
-        .when(t.rlike(f"{_STOP}{_CLOSER}*$"), "whole")
-        .when(line.rlike(r"[:：]\h*[(（]?[A-N]$") | line.rlike(r"^\h*[(（]?[A-N][)）]?$"), "whole")
-        .when(line.rlike(_ASIDE) & line.rlike(r"[\p{L})）]$"), "aside")
+    # a text whose words are more than headings and placeholders hold needs no closer look
+    return text.isNull() | ((F.length(text) <= MAX_EMPTY) | text.rlike(r"^\s*#")) & (body.rlike(_PLACEHOLDER) | ~body.rlike(r"[\p{L}\p{N}]")) | ~text.rlike(r"[\p{L}\p{N}]")
+
+
+def endings(texts: DataFrame) -> DataFrame:
+    """texts with columns t (trimmed text), line (its last line) and ending: empty, whole, mark, broken, aside, number or open.
+
+    Each step is a column of its own, so that no pattern is matched more than once a text.
+    """
+    df = texts.withColumn("t", trimmed(F.col("text"))).withColumn("empty", is_empty(F.col("text")))
+    df = df.withColumn("line", F.substring_index("t", "\n", -1)).withColumn("tail", F.right("t", F.lit(TAIL)))
+    t, line, tail = F.col("t"), F.col("line"), F.col("tail")
+    kind = (
+        F.when(F.col("empty"), "empty")
+        .when(t.endswith("\ufffd"), "broken")
+        .when(t.endswith("…") | t.endswith("..."), "mark")
+        .when(tail.rlike(r"\d\.$"), "number")
+        .when(tail.rlike(f"{_STOP}{_CLOSER}*$"), "whole")
+        .when(tail.rlike(r"[)）\]*]$") & (line.rlike(_BOXED) | tail.rlike(_BOLD)), "whole")
+        .when(tail.rlike(r"[:：]\h*[(（]?[A-N]$") | line.rlike(r"^\h*[(（]?[A-N][)）]?$"), "whole")
+        .when(line.rlike(_ASIDE) & tail.rlike(r"[\p{L})）]$"), "aside")
         .otherwise("open")
     )
+    return df.withColumn("ending", kind).drop("empty")
 
 
 def final_word(text: Column) -> Column:
-    """The letters that the trimmed text ends with, in lower case; null where it ends otherwise or in Chinese."""
-    w = F.lower(F.regexp_extract(trimmed(text), r"[\p{L}&&[^\p{IsHan}]]+$", 0))
+    """The letters that a trimmed text ends with, in lower case; null where it ends otherwise or in Chinese."""
+    w = F.lower(F.regexp_extract(F.right(text, F.lit(MAX_WORD + 1)), r"[\p{L}&&[^\p{IsHan}]]+$", 0))
     return F.when((F.length(w) > 0) & (F.length(w) <= MAX_WORD), w)
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(word, n) of all words inside the texts of column `text`; each text's final word is left out."""
-    words = F.regexp_extract_all(F.lower(F.regexp_replace(trimmed(F.col("text")), r"[\p{L}]+$", "")), F.lit(r"[\p{L}&&[^\p{IsHan}]]+"), F.lit(0))
-    return texts.select(F.explode(words).alias("word")).filter(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n"))
+    words = F.split(F.lower(F.col("text")), r"[^\p{L}]+|(?<=\p{IsHan})|(?=\p{IsHan})")
+    inside = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))  # behind the last stop comes an empty word
+    return texts.filter(F.col("text").isNotNull()).select(F.explode(inside).alias("word")).filter(F.length("word") > 0).filter(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def trie(words: DataFrame) -> DataFrame:
@@ -100,8 +117,9 @@ def cut_texts(texts: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     a row's key, final word and length; the text itself is never shuffled.
     """
     nodes = trie(vocab if vocab is not None else vocabulary(texts))
-    marked = texts.withColumn("ending", F.when(is_empty(F.col("text")), "empty").otherwise(ending(F.col("text")))).withColumn("n_chars", F.length("text"))
-    marked = marked.withColumn("word", F.when(F.col("ending").isin("open", "aside"), final_word(F.col("text")))).drop("text")
+    marked = endings(texts).withColumn("n_chars", F.length("text"))
+    marked = marked.withColumn("word", F.when(F.col("ending").isin("open", "aside"), final_word(F.col("t")))).drop("text", "t", "line", "tail")
+    marked = materialise(marked, "endings")
     lim = limits(texts).withColumn("at_limit", F.lit(True))
     sure = marked.filter(~F.col("ending").isin("open", "aside", "number"))
     asked = marked.filter(F.col("ending").isin("open", "aside", "number")).join(nodes, F.col("word") == F.col("prefix"), "left").join(lim, ["tbl", "n_chars"], "left")
