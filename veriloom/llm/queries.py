@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import language, neardup, pairs, truncation
+from veriloom.llm import language, leakage, neardup, pairs, tokens, truncation
 from veriloom.sources.tables import load
 
 FIELDS = ["question", "complex_cot", "response"]
@@ -56,5 +56,36 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_cuts(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates}
+def _training(spark: SparkSession, d: str) -> DataFrame:
+    sft = load(spark, d, "sft").select(F.lit("sft").alias("tbl"), F.col("sft_id").alias("id"), F.col("question").alias("text"))
+    doc = load(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
+    return _questions(spark, d).unionByName(sft).unionByName(doc)
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "eval_item").select("item_id", F.col("question").alias("text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_training(spark, d), _items(spark, d)).select("tbl", F.col("id").alias("record_id"), "item_id").distinct()
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(_training(spark, d), _items(spark, d)).select("tbl", "id", "item_id").distinct()
+    return found.groupBy("item_id").agg(*[F.count_if(F.col("tbl") == t).alias(f"n_{t}") for t in ("mcq", "verifiable", "sft", "documents")])
+
+
+def p6_proximity(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.near_leaks(_training(spark, d), _items(spark, d)).withColumnRenamed("id", "record_id")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(load(spark, d, "documents", "doc_id", "text")).select("doc_id", "ids")
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.decode(p7_ids(spark, d), "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p6_proximity": p6_proximity, "p7_ids": p7_ids, "p7_decoded": p7_decoded}
 ORACLE: dict[str, str] = {}
