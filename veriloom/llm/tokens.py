@@ -97,7 +97,7 @@ def encode(df: DataFrame, text: str = "text", name: str = DEFAULT, folder: str |
     blocks = base.withColumn("_block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rest if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(n))).withColumn("_words", words(F.col(f"`{text}`")))
     used = blocks.select("_block", F.explode(F.array_distinct("_words")).alias("word")).distinct()
     table = word_table(used.select("word").distinct(), name, folder)
-    told = used.join(table, "word").select("_block", "word", "ids")
+    told = used.join(table, "word").select(F.col("_block").alias("_of"), "word", "ids")
     out = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), True))])
 
     def place(texts: pa.Table, own: pa.Table) -> pa.Table:
@@ -115,7 +115,7 @@ def encode(df: DataFrame, text: str = "text", name: str = DEFAULT, folder: str |
         result = pa.ListArray.from_arrays(pa.array(total[ends], pa.int32()), pa.array(values[where], pa.int32()))
         return pa.table([*[texts.column(c) for c in rest], result], names=[*rest, "ids"])
 
-    return blocks.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(place, out)
+    return blocks.groupBy("_block").cogroup(told.groupBy("_of")).applyInArrow(place, out)
 
 
 def vocabulary(spark: SparkSession, name: str = DEFAULT, folder: str | None = None) -> DataFrame:
