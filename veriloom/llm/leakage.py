@@ -33,7 +33,7 @@ from veriloom.session import materialise
 PHRASE_WORDS = 12
 PHRASE_HAN = 20
 GRAM = 4
-SMALL = 1_000_000  # rows of the item side, or of candidates, that may be broadcast (16 to 24 bytes each)
+SMALL = 100_000  # rows of the item side, or of texts with candidates, that may be broadcast (some 100 bytes each)
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|&(?:[a-z]{2,8}|#\d{1,6});")
 _WORD = re.compile(r"[^\W_]+")
