@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import language, leakage, neardup, pairs, tokens, truncation
+from veriloom.llm import language, leakage, mixing, neardup, pairs, splitting, tokens, truncation
 from veriloom.sources.tables import load
 
 FIELDS = ["question", "complex_cot", "response"]
@@ -87,5 +87,25 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(p7_ids(spark, d), "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p6_proximity": p6_proximity, "p7_ids": p7_ids, "p7_decoded": p7_decoded}
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    ids = tokens.encode(load(spark, d, "documents", "doc_id", "source", "text"))
+    texts = ids.select(F.col("doc_id").alias("key"), "source", F.size("ids").alias("n_tokens"))
+    return mixing.mixture(texts, load(spark, d, "source_plan"))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(_mixture(spark, d), load(spark, d, "source_plan"))
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    plan = load(spark, d, "source_plan", "source", "max_tokens", "overlap_tokens")
+    docs = load(spark, d, "documents", "doc_id", "source", "text")
+    return splitting.split_oversized(docs.join(F.broadcast(plan), "source"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p6_proximity": p6_proximity, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
 ORACLE: dict[str, str] = {}

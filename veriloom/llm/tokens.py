@@ -66,6 +66,16 @@ def encoding(name: str, folder: str):
     return tiktoken.Encoding(name, pat_str=r"[\s\S]+", mergeable_ranks=ranks(name, folder), special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def counter(name: str, folder: str):
+    """A function that counts the tokens of one text."""
+    import tiktoken
+
+    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    enc = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks(name, folder), special_tokens={})
+    return lambda text: len(enc.encode_ordinary(text))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; together they are the text."""
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
