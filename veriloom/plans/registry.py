@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from veriloom.plans import nested
+from veriloom.plans import answer_queries, nested
 
-QUERIES = {**nested.QUERIES}
-ORACLE: dict[str, str] = {}
+_PARTS = (answer_queries, nested)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLE.items()}

@@ -1 +1,80 @@
+"""Structured Streaming variants of the record pipeline."""
 
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from veriloom.session import shared_dir
+
+
+def file_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 64) -> DataFrame:
+    """New Parquet files of a folder as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+
+def new_records(stream: DataFrame, key: str, at: str, late: str = "30 days") -> DataFrame:
+    """Each key once, however often it is delivered within the watermark. State older than the watermark is dropped."""
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+
+
+def windowed(stream: DataFrame, at: str, by: list[str], value: str, width: str = "1 day", slide: str | None = None, late: str = "30 days") -> DataFrame:
+    """Counts and sums by event-time window and group; rows later than the watermark are left out."""
+    s = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    w = F.window(at, width, slide) if slide else F.window(at, width)
+    return s.groupBy(w, *by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *by, "n", "total")
+
+
+def fold_states(events: DataFrame, key: str = "process_id") -> DataFrame:
+    """(process_id, rounds, solved): the search state of each record, folded from its events as they come.
+
+    State is two numbers and a flag a key. A round counts once for each verify event; solved is the verdict of the
+    latest round seen, so late and repeated events do no harm as long as rounds are numbered.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        latest, solved, seen = state.get if state.exists else (-1, False, 0)
+        for f in frames:
+            f = f[f["kind"] == "verify"]
+            for a, r, v in zip(f["attempt"], f["round"], f["verdict"]):
+                place = int(a) * 1000 + int(r)
+                seen |= 1 << min(62, place % 1000) if a == 0 else 0
+                if place >= latest:
+                    latest, solved = place, bool(v)
+        state.update((latest, solved, seen))
+        yield pd.DataFrame({key: [k[0]], "rounds": [bin(seen).count("1")], "solved": [solved]})
+
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, rounds int, solved boolean", "latest long, solved boolean, seen long", "update", GroupStateTimeout.NoTimeout)
+
+
+def rolling_monitor(stream: DataFrame, value: str, order: str, by: list[str], sink: Callable[[DataFrame, int], None], n: int = 50) -> StreamingQuery:
+    """A running query that hands the sink, for each micro-batch, its rows with the mean of the n latest of the batch."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(n - 1), 0)
+        sink(batch.withColumn("trailing_mean", F.avg(value).over(w)), epoch)
+
+    return stream.writeStream.foreachBatch(each).trigger(availableNow=True).start()
+
+
+def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that is there now through the stream into a table of the shared folder; `complete` rewrites the table each time."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        # overwriting an epoch's folder makes a repeated epoch harmless
+        batch.write.mode("overwrite").parquet(f"{base}/out/" + ("all" if mode == "complete" else f"epoch={epoch}"))
+
+    q = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/" + ("all" if mode == "complete" else "epoch=*"))
