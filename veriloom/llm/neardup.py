@@ -293,3 +293,29 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     across = pairs.join(m("x", "i"), ["tbl", "x"]).join(m("y", "j"), ["tbl", "y"])
     within = m("r", "i").join(m("r", "j"), ["tbl", "r"]).filter(F.col("i") < F.col("j"))
     return across.select("tbl", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).unionByName(within.select("tbl", F.col("i").alias("id_a"), F.col("j").alias("id_b")))
+
+
+def groups(members: DataFrame, pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
+    """(tbl, id, group_id): connected groups of linked texts, named by their smallest id.
+
+    Large-star and small-star rounds in turn: every vertex hangs its larger neighbours, then all its smaller
+    ones, on the smallest id it sees; links only ever get fewer or shorter, whatever the size of a group. Each
+    round is a shuffle of the remaining links, written to the shared folder; they end when nothing changes.
+    """
+    edges = materialise(pairs.select("tbl", F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "links")
+    for _ in range(most_rounds):
+        both = edges.unionByName(edges.select("tbl", F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("tbl", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.filter("v > u").join(low, ["tbl", "u"]).select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("tbl", "u").agg(F.min("v").alias("m"))
+        hung = large.join(least, ["tbl", "u"])
+        small = hung.filter("v <> m").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("tbl", "u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        new = materialise(small, "links")
+        same = new.agg(F.count("*"), F.sum(F.xxhash64("tbl", "u", "v").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("tbl", "u", "v").cast("decimal(38,0)"))).first()
+        edges = new
+        if same:
+            break
+    else:
+        raise RuntimeError("links have not settled; allow more rounds")
+    root = edges.select("tbl", F.col("u").alias("rep"), F.col("v").alias("_root"))
+    return members.join(root, ["tbl", "rep"], "left").select("tbl", "id", F.coalesce("_root", "rep").alias("group_id"))
