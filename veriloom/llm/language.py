@@ -29,7 +29,7 @@ from veriloom.llm.ppm import Ppm
 
 SAMPLE_ROWS = 400  # labelled rows a language for training
 SAMPLE_BYTES = 250_000  # bytes of sentences a language for training
-MARGIN_BITS = 12.0  # a sentence has a language if the second best is so much longer
+MARGIN_BITS = 16.0  # a sentence has a language if the second best is so much longer
 LETTERS_PER_FACT = 40.0
 CHUNK = 1_500_000  # bytes scored at once
 SIFT_ROUNDS = 3
@@ -86,7 +86,7 @@ def plain(sentence: str) -> bytes | None:
     """What is scored of a sentence; None if it can have no language."""
     if _ASIDE.match(sentence) or _PLACEHOLDER.fullmatch(sentence) or not _LETTER.search(sentence):
         return None
-    out = _DIGITS.sub("0", sentence).lower().split()
+    out = _DIGITS.sub("0", sentence.replace("\ufffd", "")).lower().split()
     if len(out) < 2 and sentence.isascii():
         return None  # a lone word
     return " ".join(out).encode("utf-8", "replace")

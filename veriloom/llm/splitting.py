@@ -30,37 +30,45 @@ PER_CUT = 0.3
 BALANCE = 1.0
 SLIPPED = 0.02  # a cut whose overlap cannot be exact
 
-_STOPS = tuple(x.encode() for x in ".!?。！？…")
-_CLOSERS = tuple(x.encode() for x in "\"')]”’」』）】*")
-_CLAUSES = tuple(x.encode() for x in ",;:，；：、|")
-
-
-def grades(data: bytes, ends: np.ndarray) -> np.ndarray:
-    """Grade of cutting data at each of the byte offsets; -1 inside a character. The end of data is a paragraph's."""
-    raw = np.frombuffer(data, np.uint8)
-    nxt = np.append(raw, 10)[ends]
-    out = np.where((nxt & 0xC0) == 0x80, -1, 5)
-    for i in np.flatnonzero(out == 5):
-        e = int(ends[i])
-        before, after = data[max(0, e - 12) : e], data[e : e + 2]
-        line = before.rstrip(b" \t\r")
-        if e >= len(data) or line.endswith(b"\n\n") or (line.endswith(b"\n") and line[:-1].rstrip(b" \t\r").endswith(b"\n")):
-            out[i] = 0
-        elif line.endswith(b"\n") or after[:1] in (b"\n", b"\r"):
-            out[i] = 0 if after == b"\n\n" else 1
-        else:
-            spaced = after[:1].isspace() or line != before
-            body, shut = line, False
-            while body.endswith(_CLOSERS):
-                body, shut = body[: -len(next(c for c in _CLOSERS if body.endswith(c)))], True
-            wide = body[-3:].decode("utf-8", "ignore")[-1:] in "。！？"
-            if body.endswith(_STOPS) and (spaced or wide and body[-1:] >= b"\x80"):
-                out[i] = 2
-            elif line.endswith(_CLAUSES) and (spaced or line[-1:] in (b";", b"|") or line[-1:] >= b"\x80"):
-                out[i] = 3
-            elif spaced or (before[-1:] >= b"\xe3" or after[:1] >= b"\xe3") or not (chr(before[-1]).isalnum() or before[-1] >= 0x80) or (before[-3:-2] >= b"\xe3" and before[-1:] >= b"\x80"):
-                out[i] = 4
-    return out
+# Sentence ends, what may close them, and marks between clauses.
+_codes = lambda s: np.array([ord(c) for c in s], np.uint32)
+_STOPS, _WIDE = _codes(".!?。！？…"), _codes("。！？")
+_CLOSERS, _CLAUSES, _TIGHT = _codes("\"')]”’」』）】*"), _codes(",;:，；：、|"), _codes(";|，；：、")
+
+
+def grades(text: str, ends: np.ndarray) -> np.ndarray:
+    """Grade of cutting text at each of the byte offsets; -1 inside a character. The end of the text is a paragraph's."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    n = len(c)
+    at = np.arange(n)
+    width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+    starts = np.concatenate([[0], np.cumsum(width)])
+    last = lambda keep: np.maximum.accumulate(np.where(keep, at, -1))  # noqa: E731  place of the last such character so far
+    blank, newline = np.isin(c, (32, 9, 13)), c == 10
+    space = blank | newline | np.isin(c, (0x85, 0xA0, 0x2028, 0x2029, 0x3000)) | (c >= 0x2000) & (c <= 0x200A)
+    full, open_ = last(~blank), last(~np.isin(c, _CLOSERS))
+    char = lambda i: np.where(i >= 0, c[np.maximum(i, 0)], 0)
+    p = np.arange(1, n + 1)  # a cut before character p
+    before = full[p - 1]
+    nxt = np.append(c, 10)[p]
+    spaced = np.append(space, True)[p] | (before != p - 1)
+    tail = char(before)
+    body = np.where(before >= 0, open_[np.maximum(before, 0)], -1)
+    stop = char(body)
+    twice = (tail == 10) & (char(np.where(before > 0, full[np.maximum(before - 1, 0)], -1)) == 10)
+    twice |= (nxt == 10) & (np.append(c, [10, 10])[p + 1] == 10)
+    far = lambda x: x >= 0x2E80  # noqa: E731  scripts without blanks
+    alone = ~((c >= 48) & (c <= 57) | (c >= 65) & (c <= 90) | (c >= 97) & (c <= 122) | (c >= 0xAA))
+    out = np.full(n, 5)
+    out[spaced | far(c) | far(nxt) | alone] = 4
+    out[np.isin(tail, _CLAUSES) & (spaced | np.isin(tail, _TIGHT))] = 3
+    out[np.isin(stop, _STOPS) & (spaced | np.isin(stop, _WIDE))] = 2
+    out[(tail == 10) | (nxt == 10) | (nxt == 13)] = 1
+    out[twice] = 0
+    if n:
+        out[-1] = 0
+    i = np.minimum(np.searchsorted(starts, ends), n)
+    return np.where((starts[i] == ends) & (i > 0), np.append(-1, out)[i], -1)
 
 
 def cuts(grade: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -128,8 +136,8 @@ def pieces_of(text: str, ids: np.ndarray, width: np.ndarray, count, limit: int,
     """Rows of PIECE but for the key. width: bytes of each token id; count: number of tokens of a text."""
     data = text.encode("utf-8")
     ends = np.cumsum(width[ids])
-    grade = grades(data, ends)
-    chars = lambda b: len(data[:b].decode("utf-8", "ignore"))
+    grade = grades(text, ends)
+    lead = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])  # characters begun before each byte
     own = limit
     while True:
         rows, over = [], 0
@@ -138,7 +146,7 @@ def pieces_of(text: str, ids: np.ndarray, width: np.ndarray, count, limit: int,
             piece = data[lo:hi].decode("utf-8", "ignore")
             n = count(piece)
             over = max(over, n - limit)
-            rows.append((k, chars(lo), chars(hi), n, (rows and last - a) or 0, "end" if b == len(ids) else GRADES[max(grade[b - 1], 0)], piece))
+            rows.append((k, int(lead[lo]), int(lead[hi]), n, (rows and last - a) or 0, "end" if b == len(ids) else GRADES[max(grade[b - 1], 0)], piece))
             last = b
         if over <= 0 or own <= 8:
             return rows
