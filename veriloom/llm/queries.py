@@ -33,6 +33,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.all_pairs(*neardup.links(_questions(spark, d)))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(*neardup.links(_questions(spark, d)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "sft", "sft_id", "lang", *FIELDS)
     return pairs.defects(df, "sft_id", "lang", "question", ["complex_cot", "response"]).withColumnRenamed("id", "sft_id")
@@ -107,5 +111,23 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(docs.join(F.broadcast(plan), "source"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p6_proximity": p6_proximity, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p5_found": p5_found, "p5_cuts": p5_cuts, "p5_rates": p5_rates, "p6_found": p6_found, "p6_items": p6_items, "p6_proximity": p6_proximity, "p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_pieces": p9_pieces}
+_HAN = r"[一-鿿㐀-䶿]"
+_RUNS = r"[^\p{L}\p{N}]|[一-鿿㐀-䶿]"
+_TEXTS = """t AS (SELECT DISTINCT 'mcq' AS tbl, process_id AS id, question AS text FROM mcq UNION ALL SELECT DISTINCT 'verifiable', process_id, open_question FROM verifiable)"""
+_SETS = rf"""{_TEXTS}, r AS (SELECT tbl, id, list_filter(string_split_regex(lower(text), '{_RUNS}'), lambda w: w <> '') AS words, regexp_extract_all(text, '{_HAN}+') AS runs FROM t),
+s AS (SELECT tbl, id, list_distinct(list_concat(words, flatten(list_transform(runs, lambda x: CASE WHEN length(x) = 1 THEN [x] ELSE list_transform(range(1, length(x)), lambda i: x[i:i + 1]) END)))) AS words FROM r),
+w AS (SELECT tbl, id, len(words) AS n, unnest(words) AS word FROM s)"""
+_TRAIN = f"""{_TEXTS}, x AS (SELECT * FROM t UNION ALL SELECT DISTINCT 'sft', sft_id, question FROM sft UNION ALL SELECT 'documents', doc_id, text FROM documents)"""
+_WORDS = r"list_filter(string_split_regex(lower(regexp_replace({}, '</?[a-zA-Z][^<>]{{0,80}}>|&([a-z]{{2,8}}|#[0-9]{{1,6}});', ' ', 'g')), '[^\p{{L}}\p{{N}}]'), lambda w: w <> '')"
+_CHARS = rf"regexp_replace({{}}, '[^一-鿿㐀-䶿]', '', 'g')"
+
+ORACLE = {
+    "p2_found": f"WITH {_SETS} SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.tbl = b.tbl AND a.word = b.word AND a.id < b.id GROUP BY ALL HAVING 17 * count(*) >= 7 * (any_value(a.n) + any_value(b.n))",
+    "p6_found": rf"""WITH {_TRAIN}, q AS (SELECT item_id, question, 2 * length({_CHARS.format('question')}) > length(regexp_replace(question, '[^\p{{L}}]', '', 'g')) AS zh FROM eval_item),
+iw AS (SELECT item_id, {_WORDS.format('question')} AS w FROM q WHERE NOT zh), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
+ic AS (SELECT item_id, {_CHARS.format('question')} AS c FROM q WHERE zh), ih AS (SELECT DISTINCT item_id, c[i:i + 19] AS g FROM (SELECT item_id, c, unnest(range(1, length(c) - 18)) AS i FROM ic)),
+xw AS (SELECT tbl, id, {_WORDS.format('text')} AS w FROM x), xg AS (SELECT tbl, id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT tbl, id, w, unnest(range(1, len(w) - 10)) AS i FROM xw)),
+xc AS (SELECT tbl, id, {_CHARS.format('text')} AS c FROM x), xh AS (SELECT tbl, id, c[i:i + 19] AS g FROM (SELECT tbl, id, c, unnest(range(1, length(c) - 18)) AS i FROM xc))
+SELECT DISTINCT tbl, id AS record_id, item_id FROM xg JOIN ig USING (g) UNION SELECT DISTINCT tbl, id, item_id FROM xh JOIN ih USING (g)""",
+}
