@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriloom.session import materialise
+
 BLOCK_CHARS = 4_000_000
 DEFAULT = "byte_bpe_50k"
 
@@ -104,10 +106,13 @@ def encode(df: DataFrame, text: str = "text", name: str = DEFAULT, folder: str |
     base = df.select(*[F.col(f"`{c}`") for c in rest])
     chars = base.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
     n = max(1, -(-chars // BLOCK_CHARS))
-    blocks = base.withColumn("_block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rest if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(n))).withColumn("_words", words(F.col(f"`{text}`")))
-    used = blocks.select("_block", F.explode(F.array_distinct("_words")).alias("word")).distinct()
-    table = word_table(used.select("word").distinct(), name, folder)
-    told = used.join(table, "word").select(F.col("_block").alias("_of"), "word", "ids")
+    plain = [F.col(f"`{c}`") for c in rest if not isinstance(df.schema[c].dataType, T.MapType)]
+    blocks = base.withColumn("_block", F.pmod(F.xxhash64(*plain), F.lit(n)))
+    used = blocks.select("_block", F.explode(F.array_distinct(words(F.col(f"`{text}`")))).alias("word")).distinct()
+    used = materialise(used, "words")
+    told = used.join(word_table(used.select("word").distinct(), name, folder), "word").select(F.col("_block").alias("_of"), "word", "ids")
+    # the texts are shuffled as they are and cut into words behind the shuffle, where they lie by block
+    blocks = blocks.repartition("_block").sortWithinPartitions("_block").withColumn("_words", words(F.col(f"`{text}`")))
     out = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), True))])
 
     def place(texts: pa.Table, own: pa.Table) -> pa.Table:
