@@ -9,10 +9,9 @@ but for candidates.
 
 How it is spread over a cluster:
 
-1. Word counts over all texts. The usual words, those in one of USUAL texts or more, are numbered by count; there
-   are at most USUAL x (mean words of a text) of them, whatever the corpus, and they go to all workers. All other
-   words come before them, in the order of their hashes. Any total order gives the right result, this one short
-   lists.
+1. Word counts over all texts. The usual words, those in one of USUAL texts or more, are numbered by count and go
+   to all workers; there are never more than MOST_USUAL (6 MB). All other words come before them, in the order of
+   their 64-bit hashes, as which words travel. Any total order gives the right result, this one short lists.
 2. Equal word sets are one class with one representative; copies add nothing to the lists.
 3. Short lists are sharded by word. A shard holds its words' lists, longest-text order inside a list, and of each
    text the size and a bitmap of BITS hashed words. A shard of more than SHARD_POSTINGS postings is split into
@@ -39,7 +38,7 @@ from pyspark.sql import types as T
 from veriloom.session import materialise
 
 NUM, DEN = 7, 10  # similarity of links
-USUAL = 2000
+USUAL, MOST_USUAL = 2000, 500_000
 BITS = 256
 SHARD_POSTINGS = 400_000
 TEXTS_PER_SHARD = 10_000
@@ -77,7 +76,7 @@ def _need(total: np.ndarray) -> np.ndarray:
 
 
 def usual_words(texts: DataFrame) -> np.ndarray:
-    """Hashes of the words in one of USUAL texts or more, rarest first. At most USUAL x mean size of them."""
+    """Hashes of the words in one of USUAL texts or more, rarest first; at most MOST_USUAL, as counts add up to all words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -88,8 +87,9 @@ def usual_words(texts: DataFrame) -> np.ndarray:
 
     counts = texts.select("text").mapInPandas(count, "word long, n long, all boolean").groupBy("all", "word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "words")
-    n_texts = counts.filter("all").agg(F.sum("n")).first()[0] or 0
-    rows = counts.filter(~F.col("all") & (F.col("n") * USUAL >= n_texts)).select("word", "n").toPandas()
+    sums = counts.agg(F.sum(F.when(F.col("all"), F.col("n"))).alias("texts"), F.sum(F.when(~F.col("all"), F.col("n"))).alias("words")).first()
+    least = max((sums["texts"] or 0) / USUAL, (sums["words"] or 0) / MOST_USUAL)
+    rows = counts.filter(~F.col("all") & (F.col("n") >= least)).select("word", "n").toPandas()
     rows = rows.sort_values(["n", "word"])
     return rows["word"].to_numpy(np.int64).view(np.uint64)
 
