@@ -101,16 +101,16 @@ def trie(words: DataFrame) -> DataFrame:
     )
 
 
-def limits(texts: DataFrame) -> DataFrame:
-    """(tbl, n_chars) of lengths at which far more texts end than around. One row a length: never many."""
-    by = texts.filter(F.length("text") >= MIN_CHARS).groupBy("tbl", F.length("text").alias("n_chars")).agg(F.count("*").alias("n"))
+def limits(sized: DataFrame) -> DataFrame:
+    """(tbl, n_chars) of the lengths n_chars at which far more texts end than around. One row a length: never many."""
+    by = sized.filter(F.col("n_chars") >= MIN_CHARS).groupBy("tbl", "n_chars").agg(F.count("*").alias("n"))
     near = Window.partitionBy("tbl").orderBy("n_chars").rangeBetween(-AROUND, AROUND)
     mean = (F.sum("n").over(near) - F.col("n")) / F.lit(2.0 * AROUND)
     return by.withColumn("mean", mean).filter((F.col("n") >= MIN_LIMIT) & (F.col("n") >= LIMIT_RATIO * F.col("mean"))).select("tbl", "n_chars")
 
 
 def cut_texts(texts: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """Rows of texts (tbl, id, source, text, ...) plus `cut`: null, or the kind of cut.
+    """Rows of texts (tbl, id, source, ...) without text, plus cut: null, or the kind of cut; at_limit; and empty.
 
     Kinds: mid_char, marked (an ellipsis), mid_word (unknown proper prefix of known words), mid_number, and
     mid_sentence. Null, empty and placeholder texts are not cut. Repeated rows stay repeated. The joins carry only
@@ -120,7 +120,7 @@ def cut_texts(texts: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     marked = endings(texts).withColumn("n_chars", F.length("text"))
     marked = marked.withColumn("word", F.when(F.col("ending").isin("open", "aside"), final_word(F.col("t")))).drop("text", "t", "line", "tail")
     marked = materialise(marked, "endings")
-    lim = limits(texts).withColumn("at_limit", F.lit(True))
+    lim = limits(marked).withColumn("at_limit", F.lit(True))
     sure = marked.filter(~F.col("ending").isin("open", "aside", "number"))
     asked = marked.filter(F.col("ending").isin("open", "aside", "number")).join(nodes, F.col("word") == F.col("prefix"), "left").join(lim, ["tbl", "n_chars"], "left")
     partial = (F.coalesce("as_word", F.lit(0)) < MIN_KNOWN) & (F.coalesce("below", F.lit(0)) >= MIN_KNOWN)
@@ -133,9 +133,9 @@ def cut_texts(texts: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
         .otherwise("mid_sentence")
     )
     keep = [c for c in texts.columns if c != "text"]
-    return asked.select(*keep, kind.alias("cut"), at_limit.alias("at_limit")).unionByName(
-        sure.select(*keep, F.when(F.col("ending") == "broken", "mid_char").when(F.col("ending") == "mark", "marked").alias("cut"), F.lit(False).alias("at_limit"))
-    )
+    told = F.when(F.col("ending") == "broken", "mid_char").when(F.col("ending") == "mark", "marked")
+    settled = sure.select(*keep, told.alias("cut"), F.lit(False).alias("at_limit"), (F.col("ending") == "empty").alias("empty"))
+    return settled.unionByName(asked.select(*keep, kind.alias("cut"), at_limit.alias("at_limit"), F.lit(False).alias("empty")))
 
 
 def cut_rates(cuts: DataFrame) -> DataFrame:
