@@ -21,7 +21,7 @@ def compare(spark, name: str, query, sql: str, sf_dir: str) -> str | None:
     df = query(spark, sf_dir)
     con = duckdb.connect()
     for p in glob.glob(f"{sf_dir}/*.parquet"):
-        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}{"/*.parquet" if os.path.isdir(p) else ""}')")
     rel = con.execute(sql)
     cols = [c[0] for c in rel.description]
     if sorted(cols) != sorted(df.columns):
