@@ -45,6 +45,8 @@ def test_exact_code_lengths():
     got = m.score(texts)
     for t, row in zip(texts, got):
         assert row == pytest.approx([plain_bits(samples[x], t) for x in m.langs], abs=1e-3)
+        for step in (1, 3, 1000):
+            assert m.score_long(t, step) == pytest.approx(row, abs=1e-3)
 
 
 def test_declared(spark):
@@ -81,3 +83,9 @@ def test_fields(spark):
     once = L.distinct_segments(segs).filter("id = 1")
     assert once.count() == 3 and once.agg({"confidence": "min"}).first()[0] > 0.9
     assert L.wrong_labels(L.label_segments(df.limit(0), "sft_id", "lang", ["question"])).count() == 0
+
+
+def test_very_long_sentence():
+    m = L.train({})
+    text = "the people who live here were asked " * 60_000
+    assert [x[2] for x in L.segments(m, [text])[0]] == ["en"]

@@ -25,7 +25,7 @@ def docs(spark):
     rng = random.Random(8)
     alphabet = "abc XYZ09.,'\n\t中文字é🧬  　-"
     rows = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["same text"] * 3
-    return spark.createDataFrame([(i if i else None, t, "w", [1]) for i, t in enumerate(rows)], "doc_id long, text string, word string, ids array<int>").repartition(4)
+    return spark.createDataFrame([(i if i else None, t, "w", [1]) for i, t in enumerate(rows)], "doc_id long, text string, _block string, ids array<int>").repartition(4)
 
 
 def test_ids_and_round_trip(docs, monkeypatch):
@@ -33,7 +33,7 @@ def test_ids_and_round_trip(docs, monkeypatch):
     enc = exact()
     coded = tokens.encode(docs)
     rows = coded.collect()
-    assert len(rows) == docs.count() and coded.columns == ["doc_id", "text", "word", "ids"]
+    assert len(rows) == docs.count() and coded.columns == ["doc_id", "text", "_block", "ids"]
     assert [r.doc_id for r in rows if list(r.ids) != enc(r.text)] == []
     back = {r.doc_id: r.text for r in tokens.decode(coded, "doc_id").collect()}
     assert all(back[r.doc_id] == (r.text or "") for r in rows)

@@ -157,6 +157,10 @@ def score_all(model: Ppm, texts: list[bytes]) -> np.ndarray:
     codes, uniques = pd.factorize(pd.Series(texts, dtype=object))
     parts, held, size = [], [], 0
     for t in uniques:
+        if len(t) > CHUNK:
+            parts += [model.score(held), model.score_long(t, CHUNK)[None]]
+            held, size = [], 0
+            continue
         held.append(t)
         size += len(t)
         if size > CHUNK:

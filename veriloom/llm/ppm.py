@@ -106,13 +106,8 @@ class Ppm:
             self.escapes.append((_Table(ctx_keys), esc.astype(np.float32)) if k else None)
             lower_keys, lower = keys, cost
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Code length in bits of each text in each language: an array (texts, languages)."""
-        if not texts:
-            return np.zeros((0, len(self.langs)))
-        data = np.frombuffer(_SEP + b"".join(t + _SEP for t in texts), np.uint8)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts = ORDER + np.concatenate([[0], np.cumsum(size + ORDER)[:-1]])
+    def _costs(self, data: np.ndarray) -> np.ndarray:
+        """Bits of each byte, after those before it, in each language; separators cost nothing."""
         full = _grams(data, ORDER)
         out = np.zeros((len(data), len(self.langs)), np.float32)
         left = np.flatnonzero(data != 10)
@@ -129,5 +124,19 @@ class Ppm:
             row = table.find(keys[~hit] >> 8)
             seen = row >= 0
             out[left[seen]] += esc[row[seen]]
-        total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(out, axis=0, dtype=np.float64)])
+        return out
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """Code length in bits of each text in each language: an array (texts, languages)."""
+        if not texts:
+            return np.zeros((0, len(self.langs)))
+        data = np.frombuffer(_SEP + b"".join(t + _SEP for t in texts), np.uint8)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = ORDER + np.concatenate([[0], np.cumsum(size + ORDER)[:-1]])
+        total = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self._costs(data), axis=0, dtype=np.float64)])
         return total[starts + size] - total[starts]
+
+    def score_long(self, text: bytes, step: int) -> np.ndarray:
+        """Code lengths of one text, taken step by step with the bytes before each step as context; the same as score's."""
+        data = np.frombuffer(_SEP + text, np.uint8)
+        return sum((self._costs(data[a : a + step + ORDER])[ORDER:].sum(axis=0, dtype=np.float64) for a in range(0, max(1, len(text)), step)), np.zeros(len(self.langs)))

@@ -103,20 +103,22 @@ def encode(df: DataFrame, text: str = "text", name: str = DEFAULT, folder: str |
     """
     folder = tokenizer_dir(folder)
     rest = [c for c in df.columns if c != "ids"]
+    block, cut = (next(x for x in (name_ + "_" * k for k in range(len(rest) + 1)) if x not in rest) for name_ in ("_block", "_words"))
     base = df.select(*[F.col(f"`{c}`") for c in rest])
-    chars = base.agg(F.sum(F.length(F.col(f"`{text}`")))).first()[0] or 0
+    body = F.col(f"`{text}`")
+    chars = base.agg(F.sum(F.length(body))).first()[0] or 0
     n = max(1, -(-chars // BLOCK_CHARS))
     plain = [F.col(f"`{c}`") for c in rest if not isinstance(df.schema[c].dataType, T.MapType)]
-    blocks = base.withColumn("_block", F.pmod(F.xxhash64(*plain), F.lit(n)))
-    used = blocks.select("_block", F.explode(F.array_distinct(words(F.col(f"`{text}`")))).alias("word")).distinct()
+    blocks = base.withColumn(block, F.pmod(F.xxhash64(*plain), F.lit(n)))
+    used = blocks.select(F.col(block).alias("of"), F.explode(F.array_distinct(words(body))).alias("word")).distinct()
     used = materialise(used, "words")
-    told = used.join(word_table(used.select("word").distinct(), name, folder), "word").select(F.col("_block").alias("_of"), "word", "ids")
+    told = used.join(word_table(used.select("word").distinct(), name, folder), "word").select("of", "word", "ids")
     # the texts are shuffled as they are and cut into words behind the shuffle, where they lie by block
-    blocks = blocks.repartition("_block").sortWithinPartitions("_block").withColumn("_words", words(F.col(f"`{text}`")))
+    blocks = blocks.repartition(block).sortWithinPartitions(block).withColumn(cut, words(body))
     out = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), True))])
 
     def place(texts: pa.Table, own: pa.Table) -> pa.Table:
-        lists = texts.column("_words").combine_chunks()
+        lists = texts.column(cut).combine_chunks()
         lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
         flat = lists.flatten()
@@ -130,7 +132,7 @@ def encode(df: DataFrame, text: str = "text", name: str = DEFAULT, folder: str |
         result = pa.ListArray.from_arrays(pa.array(total[ends], pa.int32()), pa.array(values[where], pa.int32()))
         return pa.table([*[texts.column(c) for c in rest], result], names=[*rest, "ids"])
 
-    return blocks.groupBy("_block").cogroup(told.groupBy("_of")).applyInArrow(place, out)
+    return blocks.groupBy(block).cogroup(told.groupBy("of")).applyInArrow(place, out)
 
 
 def vocabulary(spark: SparkSession, name: str = DEFAULT, folder: str | None = None) -> DataFrame:
@@ -141,7 +143,7 @@ def vocabulary(spark: SparkSession, name: str = DEFAULT, folder: str | None = No
 
 def decode(df: DataFrame, key: str, ids: str = "ids", name: str = DEFAULT, folder: str | None = None) -> DataFrame:
     """(key, text): the texts of token ids, by a join with the vocabulary. An empty list gives the empty text; null none."""
-    pieces = df.filter(F.col(ids).isNotNull()).select(key, F.posexplode_outer(ids).alias("pos", "token_id"))
+    pieces = df.filter(F.col(ids).isNotNull()).select(F.col(key).alias("_k"), F.posexplode_outer(ids).alias("pos", "token_id"))
     named = pieces.join(F.broadcast(vocabulary(df.sparkSession, name, folder)), "token_id", "left")
     joined = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("hex")))), lambda x: x["hex"])
-    return named.groupBy(key).agg(F.decode(F.unhex(F.concat_ws("", joined)), "UTF-8").alias("text"))
+    return named.groupBy("_k").agg(F.decode(F.unhex(F.concat_ws("", joined)), "UTF-8").alias("text")).withColumnRenamed("_k", key)

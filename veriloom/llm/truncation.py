@@ -113,16 +113,19 @@ def cut_texts(texts: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """Rows of texts (tbl, id, source, ...) without text, plus cut: null, or the kind of cut; at_limit; and empty.
 
     Kinds: mid_char, marked (an ellipsis), mid_word (unknown proper prefix of known words), mid_number, and
-    mid_sentence. Null, empty and placeholder texts are not cut. Repeated rows stay repeated. The joins carry only
-    a row's key, final word and length; the text itself is never shuffled.
+    mid_sentence. Null, empty and placeholder texts are not cut. Repeated rows stay repeated; other columns stay,
+    whatever their names, but for those this adds. The joins carry a row without its text, its final word and
+    length; the text itself is never shuffled.
     """
-    nodes = trie(vocab if vocab is not None else vocabulary(texts))
-    marked = endings(texts).withColumn("n_chars", F.length("text"))
+    keep = [c for c in texts.columns if c not in ("text", "cut", "at_limit", "empty")]
+    own = texts.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "tbl", "text")
+    nodes = trie(vocab if vocab is not None else vocabulary(own))
+    marked = endings(own).withColumn("n_chars", F.length("text"))
     marked = marked.withColumn("word", F.when(F.col("ending").isin("open", "aside"), final_word(F.col("t")))).drop("text", "t", "line", "tail")
     marked = materialise(marked, "endings")
     lim = limits(marked).withColumn("at_limit", F.lit(True))
-    sure = marked.filter(~F.col("ending").isin("open", "aside", "number"))
-    asked = marked.filter(F.col("ending").isin("open", "aside", "number")).join(nodes, F.col("word") == F.col("prefix"), "left").join(lim, ["tbl", "n_chars"], "left")
+    unsettled = F.col("ending").isin("open", "aside", "number")
+    asked = marked.filter(unsettled).join(nodes, F.col("word") == F.col("prefix"), "left").join(lim, ["tbl", "n_chars"], "left")
     partial = (F.coalesce("as_word", F.lit(0)) < MIN_KNOWN) & (F.coalesce("below", F.lit(0)) >= MIN_KNOWN)
     at_limit = F.coalesce("at_limit", F.lit(False))
     known = F.coalesce("as_word", F.lit(0)) >= MIN_KNOWN
@@ -132,10 +135,10 @@ def cut_texts(texts: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
         .when(F.col("ending") == "aside", F.when(at_limit & ~known, "mid_word"))
         .otherwise("mid_sentence")
     )
-    keep = [c for c in texts.columns if c != "text"]
     told = F.when(F.col("ending") == "broken", "mid_char").when(F.col("ending") == "mark", "marked")
-    settled = sure.select(*keep, told.alias("cut"), F.lit(False).alias("at_limit"), (F.col("ending") == "empty").alias("empty"))
-    return settled.unionByName(asked.select(*keep, kind.alias("cut"), at_limit.alias("at_limit"), F.lit(False).alias("empty")))
+    settled = marked.filter(~unsettled).select("row", told.alias("cut"), F.lit(False).alias("at_limit"), (F.col("ending") == "empty").alias("empty"))
+    both = settled.unionByName(asked.select("row", kind.alias("cut"), at_limit.alias("at_limit"), F.lit(False).alias("empty")))
+    return both.select("row.*", "cut", "at_limit", "empty")
 
 
 def cut_rates(cuts: DataFrame) -> DataFrame:
