@@ -8,7 +8,7 @@
    come from sums over hash buckets of bounded size and a running sum inside each bucket, so that a source that
    holds a third of all rows is never ordered in one task. A source is repeated by whole passes over its
    order, the last pass being cut where want is reached, to within half a text.
-3. The sequence of a source is cut into blocks of BLOCK_TOKENS. A splitting tree deals the blocks out to the
+3. The sequence of a source is cut into blocks of BLOCK_TOKENS (more, where there would be over MOST_BLOCKS). A splitting tree deals the blocks out to the
    shards: at each node the left half draws its blocks from the node's, multivariate-hypergeometric, the right
    half has the rest, down to the leaves. Every leaf walks its own path, with the draws of a node seeded by the
    node; nothing but the path's counts (one a source) is held, and the leaves' quotas add up exactly.
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from veriloom.session import materialise
 
 BLOCK_TOKENS = 4_096
+MOST_BLOCKS = 500_000_000  # beyond, blocks are larger; the draws take no more than twice as many
 SHARD_TOKENS = 1_000_000
 BUCKET_ROWS = 5_000
 
@@ -115,10 +116,10 @@ def quota(blocks: np.ndarray, shard: int, n_shards: int, seed: int) -> tuple[np.
     return first, colors
 
 
-def deal(spark, wanted: list[Share], n_shards: int, seed: int) -> DataFrame:
+def deal(spark, wanted: list[Share], n_shards: int, seed: int, block_tokens: int) -> DataFrame:
     """(source, block, shard) of all blocks; every leaf finds its own."""
     names = [s.source for s in wanted]
-    blocks = np.array([max(1, int(np.ceil(s.want / BLOCK_TOKENS))) for s in wanted], np.int64)
+    blocks = np.array([max(1, int(np.ceil(s.want / block_tokens))) for s in wanted], np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -146,16 +147,17 @@ def mixture(texts: DataFrame, plan: DataFrame, total: float | None = None, seed:
     sized = materialise(texts.select("key", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).filter(F.col("source").isin([s for s, _, _ in rules if s])), "sized")
     per = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()}
     wanted = shares({s: r["n"] for s, r in per.items()}, rules, total)
-    n_shards = max(1, round(sum(s.want for s in wanted) / shard_tokens))
+    whole = sum(s.want for s in wanted)
+    n_shards, block_tokens = max(1, round(whole / shard_tokens)), max(BLOCK_TOKENS, int(whole // MOST_BLOCKS))
     told = spark.createDataFrame([(s.source, s.available, s.want) for s in wanted], "source string, available long, want double")
     placed = places(sized, seed, sum(r["rows"] for r in per.values())).join(F.broadcast(told), "source")
     # pass c takes a text if the middle of its place lies before want
     passes = F.ceil((F.col("want") - F.col("start") - F.col("n_tokens") / 2) / F.col("available"))
     used = placed.withColumn("_passes", F.when((F.col("n_tokens") > 0), passes).otherwise(F.ceil((F.col("want") - F.col("start")) / F.col("available")))).filter("_passes > 0")
     used = used.withColumn("repeat", F.explode(F.sequence(F.lit(0), (F.col("_passes") - 1).cast("int"))))
-    last = F.ceil(F.col("want") / BLOCK_TOKENS) - 1
-    used = used.withColumn("block", F.least(last, F.floor((F.col("repeat") * F.col("available") + F.col("start")) / BLOCK_TOKENS)).cast("long"))
-    dealt = used.join(deal(spark, wanted, n_shards, seed), ["source", "block"])
+    last = F.ceil(F.col("want") / block_tokens) - 1
+    used = used.withColumn("block", F.least(last, F.floor((F.col("repeat") * F.col("available") + F.col("start")) / block_tokens)).cast("long"))
+    dealt = used.join(deal(spark, wanted, n_shards, seed, block_tokens), ["source", "block"])
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "shard", "key", "repeat"), "source", "key", "repeat")
     mixed = dealt.withColumn("pos", F.row_number().over(order) - 1).select("shard", "pos", "source", "key", "repeat", "n_tokens")
     return mixed
