@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,12 @@ def test_text_nulls(spark):
     got = df.select(X.strip(t), X.bracket_content(t), X.count_of(t, "x"), X.final_section(t), X.postprocess(t)).collect()
     assert list(got[0]) == [None] * 5 and got[3][0] == "a" and got[2][2] == 200_000 and got[1][3] == ""
     assert spark.range(1).select(X.fill("{{{a}}} {b}", a=F.lit("{b}"), b=F.lit("x"))).first()[0] == "{{b}} x"
+
+
+def test_release(spark):
+    from veriloom import session
+
+    df = session.materialise(spark.range(5), "kept")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert session.release(spark) >= 1 and not os.path.isdir(path)

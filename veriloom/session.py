@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,21 +27,41 @@ def get_spark(app: str = "veriloom", cores: int | str | None = None) -> SparkSes
     )
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one of this session where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. On one machine, where it is unset, a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base
+    base = spark.conf.get("spark.veriloom.localDir", None)
     if not base:
-        base = spark.conf.get("spark.veriloom.localDir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="veriloom-")
-            spark.conf.set("spark.veriloom.localDir", base)
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="veriloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
+        spark.conf.set("spark.veriloom.localDir", base)
     return base
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    """Write df once to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    The table stays until release; results that are not yet computed may still read it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this process has materialised; their number. Only for when their results are written."""
+    hadoop, n = spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(hadoop).delete(path, True)
+    return n
