@@ -27,6 +27,21 @@ def get_spark(app: str = "veriloom", cores: int | str | None = None) -> SparkSes
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers through Spark, once a session, where their path does not have it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or spark.sparkContext.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="veriloom-package-")  # read by this process only; Spark's file server sends it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "veriloom"), "zip", root, "veriloom"))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 _WRITTEN: list[str] = []
 
 
