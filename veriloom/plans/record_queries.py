@@ -28,6 +28,8 @@ STUB = StubCompleter(
     default=(_GOOD,),
 )
 
+SFT_TOKENS, PROMPT_TOKENS = 8192, 1000  # the length limits of training, for the queries on whole texts
+
 
 def _mcq(spark: SparkSession, d: str, *c: str) -> DataFrame:
     return latest_delivery(load(spark, d, "mcq", "process_id", "arrived_at", *c), "process_id")
@@ -138,28 +140,54 @@ def sft_render(spark: SparkSession, d: str) -> DataFrame:
     return sft.render(_sft(spark, d, "question", "complex_cot", "response"), "question", "complex_cot", "response").select("sft_id", F.md5("prompt").alias("prompt"), F.md5("full").alias("full"))
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return sft.masked_tokens(sft.render(_sft(spark, d, "question", "complex_cot", "response"), "question", "complex_cot", "response"), 256)
+def _tokens(spark: SparkSession, d: str, most: int = 256) -> DataFrame:
+    return sft.masked_tokens(sft.render(_sft(spark, d, "question", "complex_cot", "response"), "question", "complex_cot", "response"), most)
 
 
-def sft_tokens(spark: SparkSession, d: str) -> DataFrame:
+def _token_digests(df: DataFrame) -> DataFrame:
     join = lambda c: F.md5(F.array_join(c, ","))
-    return _tokens(spark, d).select("sft_id", F.size("input_ids").cast("long").alias("n"), join("input_ids").alias("ids"), join("labels").alias("labels"))
+    return df.select("sft_id", F.size("input_ids").cast("long").alias("n"), join("input_ids").alias("ids"), join("labels").alias("labels"))
 
 
-def sft_batches(spark: SparkSession, d: str) -> DataFrame:
-    df = _tokens(spark, d).withColumn("batch_id", F.floor(F.col("sft_id") / 16).cast("long"))
-    out = sft.padded(df, "batch_id", 200, pad=0)
+def sft_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _token_digests(_tokens(spark, d))
+
+
+def sft_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
+    """sft_tokens at the length limit of training."""
+    return _token_digests(_tokens(spark, d, SFT_TOKENS))
+
+
+def _sft_batches(df: DataFrame, most: int) -> DataFrame:
+    out = sft.padded(df.withColumn("batch_id", F.floor(F.col("sft_id") / 16).cast("long")), "batch_id", most, pad=0)
     return out.select("sft_id", "batch_id", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"), F.md5(F.array_join("labels", ",")).alias("labels"))
 
 
-def prompt_batches(spark: SparkSession, d: str) -> DataFrame:
+def sft_batches(spark: SparkSession, d: str) -> DataFrame:
+    return _sft_batches(_tokens(spark, d), 200)
+
+
+def sft_batches_whole(spark: SparkSession, d: str) -> DataFrame:
+    """sft_batches at the length limit of training."""
+    return _sft_batches(_tokens(spark, d, SFT_TOKENS), SFT_TOKENS)
+
+
+def _prompt_batches(spark: SparkSession, d: str, most: int) -> DataFrame:
     df = _verifiable(spark, d, "open_question", "gold_answer").filter(relational.non_empty("open_question", "gold_answer"))
     df = df.select("process_id", sft.word_ids(X.chat([("user", F.col("open_question"))], ask=True)).alias("input_ids"), F.floor(F.col("process_id") / 32).cast("long").alias("batch_id"))
-    out = sft.padded(df, "batch_id", 64, pad=7, left=True, columns={"input_ids": 7})
+    out = sft.padded(df, "batch_id", most, pad=7, left=True, columns={"input_ids": 7})
     return out.select("process_id", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"))
 
 
+def prompt_batches(spark: SparkSession, d: str) -> DataFrame:
+    return _prompt_batches(spark, d, 64)
+
+
+def prompt_batches_whole(spark: SparkSession, d: str) -> DataFrame:
+    """prompt_batches at the length limit of training."""
+    return _prompt_batches(spark, d, PROMPT_TOKENS)
+
+
 def stop_cut(spark: SparkSession, d: str) -> DataFrame:
     stop = F.get(sft.word_ids(F.lit("the")), F.lit(0))
     ids = _sft(spark, d, "response").withColumn("ids", sft.word_ids(F.col("response"))).withColumn("stop", stop)
@@ -201,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         assigned_ids, limited, resume_anti_join, union_sources, pass_filter, verdicts, non_empty_records, key_presence, bracket_content, validated_steps, validated_rewrites, reformatted, trajectory_text, strategy_choice,
-        curate_stub, curate_finished, search_stub, search_chinese_stub, search_state, sft_render, sft_tokens, sft_batches, prompt_batches, stop_cut, token_accuracy, rl_split, step_labels, repeated_text, prefixed_keys,
+        curate_stub, curate_finished, search_stub, search_chinese_stub, search_state, sft_render, sft_tokens, sft_tokens_whole, sft_batches, sft_batches_whole, prompt_batches, prompt_batches_whole, stop_cut, token_accuracy, rl_split, step_labels, repeated_text, prefixed_keys,
     )
 }
 
@@ -265,3 +293,8 @@ SELECT event_id, (list_position(list_transform(n, lambda x: (x % 5 > 0)::INT), 0
 g AS (SELECT sft_id, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END AS g FROM w) SELECT sft_id, round(coalesce(1 - len(list_distinct(g))::DOUBLE / len(g), 0), 6) AS repetition FROM g""",
     "prefixed_keys": "SELECT o_orderkey, 2::BIGINT AS n, lower(o_orderstatus) AS status, o_orderpriority AS priority FROM orders",
 }
+ORACLE |= {
+    "sft_tokens_whole": ORACLE["sft_tokens"].replace("[-256:]", f"[-{SFT_TOKENS}:]"),
+    "sft_batches_whole": ORACLE["sft_batches"].replace("[-256:]", f"[-{SFT_TOKENS}:]").replace(", 200)", f", {SFT_TOKENS})"),
+    "prompt_batches_whole": ORACLE["prompt_batches"].replace(", 64)", f", {PROMPT_TOKENS})"),
+}
