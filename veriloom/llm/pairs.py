@@ -2,8 +2,8 @@
 
 Kinds, in this order where several fit: empty, copy, refusal, truncated, other_language.
 
-Refusals come from the data. The openings of all answers (their first sentences) are clustered by MinHash
-over shingles of five words, verified to a similarity of SIMILAR or more. A cluster that recurs across unrelated
+Refusals come from the data. The openings of all answers (their first sentences) are linked where their shingles of
+five words have a similarity of SIMILAR or more, and connected to clusters. A cluster that recurs across unrelated
 prompts is a template; so is a shared head, the first five words, where a name varies behind it. A template
 whose answers hold nothing but declining openings (its closed share) declines itself; one that answers go on
 from, however apologetic it sounds, does not. The wording of refusals (DECLINE) is where this starts from, and
@@ -18,20 +18,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.llm import language, truncation
+from veriloom.llm import language, neardup, truncation
 from veriloom.session import materialise
 
 KINDS = ["empty", "copy", "refusal", "truncated", "other_language"]  # the first that fits holds
 UNITS = 6  # sentences of an answer that are its opening; a longer answer is no refusal
 SHINGLE = 5
 SIMILAR = 0.8
-HASHES, BANDS = 20, 5  # bands of 4: a pair at 0.8 shares one with probability 0.93, checked by the verified step
+BLOCK = 2000  # openings of one shingle that are compared in one piece
 MIN_PROMPTS = 5  # unrelated prompts before a template is judged by its closed share
 CLOSED_SHARE, OPEN_SHARE = 0.7, 0.3
 ROUNDS = 2
@@ -152,36 +151,11 @@ def _main(segs: list) -> str | None:
 
 # --- templates: clusters of openings ----------------------------------------------------------------------
 
-_PRIME = (1 << 31) - 1
-
-
 def shingles(unit: str) -> list[str]:
     w = unit.split(" ")
     return [" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
 
 
-def _band_keys(units: list[str]) -> np.ndarray:
-    """An array (units, BANDS) of the keys of their MinHash bands."""
-    rng = np.random.default_rng(7)
-    a, b = rng.integers(1, _PRIME, HASHES, dtype=np.int64), rng.integers(0, _PRIME, HASHES, dtype=np.int64)
-    parts = [shingles(u) for u in units]
-    flat = pd.util.hash_array(np.array([x for p in parts for x in p], dtype=object)) % np.uint64(_PRIME)
-    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)
-    sig = np.minimum.reduceat((flat.astype(np.int64)[:, None] * a + b) % _PRIME, starts, axis=0)
-    keys = np.zeros((len(units), BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(HASHES // BANDS):
-            keys = (keys ^ sig[:, j * BANDS : (j + 1) * BANDS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def band_keys(units: pd.Series) -> pd.Series:
-    """Keys of a unit's MinHash bands."""
-    return pd.Series(list(_band_keys(list(units))) if len(units) else [], dtype=object)
-
-
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaccard similarity of the shingle sets of two units."""
@@ -197,17 +171,48 @@ def openings(feats: DataFrame) -> DataFrame:
     return feats.select("id", "field", "n_units", "prompt", F.explode(F.array_distinct("units")).alias("unit"))
 
 
+def _prefixes(coded: DataFrame) -> DataFrame:
+    """(uid, n, pos, code, blocks): the rarest of each unit's n shingles, of which two units at SIMILAR share one at least."""
+    posting = coded.select("uid", F.size("codes").alias("n"), F.explode("codes").alias("code"))
+    freq = posting.groupBy("code").agg(F.count("*").alias("f"))
+    length = F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9).cast("int") + 1
+    ranked = posting.join(freq, "code").groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "code"))).alias("x"))
+    rare = ranked.select("uid", "n", F.posexplode(F.slice("x", F.lit(1), length)).alias("pos", "x")).select("uid", "n", "pos", "x.code").filter("x.f > 1")
+    size = rare.groupBy("code").agg(F.count("*").alias("k")).filter("k > 1")
+    return rare.join(size, "code").select("uid", "n", "pos", "code", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+
+
+def _similar(coded: DataFrame) -> DataFrame:
+    """(x, y): all pairs of units (uid, unit, codes) at SIMILAR or more.
+
+    The units of a shingle are compared block by block, so that one of any number of units is many small tasks. Pairs
+    whose sizes, or whose shingles behind the shared one, are too few for SIMILAR are not compared.
+    """
+    rare = materialise(_prefixes(coded), "prefixes")
+    own, each = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = rare.select("code", own.alias("i"), each.alias("j"), F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    b = rare.select("code", each.alias("i"), own.alias("j"), F.col("uid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    sizes = F.least("nx", "ny") >= SIMILAR * F.greatest("nx", "ny") - 1e-9
+    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-9
+    near = a.join(b, ["code", "i", "j"]).filter((F.col("x") < F.col("y")) & sizes & left).select("x", "y").distinct()
+    texts = lambda k, u: coded.select(F.col("uid").alias(k), F.col("unit").alias(u))
+    return near.join(texts("x", "u"), "x").join(texts("y", "v"), "y").filter(similarity(F.col("u"), F.col("v")) >= SIMILAR).select("x", "y")
+
+
 def clusters(units: DataFrame) -> DataFrame:
-    """(unit, rep): verified MinHash clusters of distinct openings around representatives.
+    """(unit, rep): connected groups of distinct openings linked at SIMILAR or more, named by their first one.
 
-    In each bucket of a band every unit is compared with the bucket's first one only, so a bucket of any size
-    costs one comparison a unit; among the verified ones the first of all stands for the unit.
+    Links are all there are, by a prefix filter over the shingles, each verified.
     """
-    banded = units.select("unit", F.posexplode(band_keys(F.col("unit"))).alias("band", "bucket"))
-    first = banded.groupBy("band", "bucket").agg(F.min("unit").alias("rep"), F.count("*").alias("k")).filter(F.col("k") > 1).drop("k")
-    near = banded.join(first, ["band", "bucket"]).select("unit", "rep").filter(F.col("unit") != F.col("rep")).distinct()
-    best = near.filter(similarity(F.col("unit"), F.col("rep")) >= SIMILAR).groupBy("unit").agg(F.min("rep").alias("rep"))
-    return units.select("unit").join(best, "unit", "left").select("unit", F.coalesce("rep", "unit").alias("rep"))
+    w = F.split("unit", " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
+    parts = F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(SHINGLE)))))
+    coded = materialise(units.select(F.monotonically_increasing_id().alias("uid"), "unit", F.transform(parts, lambda p: F.xxhash64(p)).alias("codes")), "coded")
+    tbl = F.lit("units").alias("tbl")
+    found = neardup.groups(coded.select(tbl, F.col("uid").alias("id"), F.col("uid").alias("rep")), _similar(coded).select(tbl, "x", "y"))
+    named = coded.select("uid", "unit").join(found.select(F.col("id").alias("uid"), "group_id"), "uid")
+    first = named.groupBy("group_id").agg(F.min("unit").alias("rep"))
+    return named.join(first, "group_id").select("unit", "rep")
 
 
 def _joined(unit: str) -> str:
