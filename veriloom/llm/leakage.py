@@ -19,6 +19,7 @@ is gathered in one task.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -124,19 +125,22 @@ def _collect_terms(df: DataFrame) -> np.ndarray:
     return np.sort(df.toPandas()["term"].to_numpy(np.int64))
 
 
-def anchors(texts: DataFrame, win: DataFrame) -> DataFrame:
-    """(item_id, start, term1, off1, term2, off2): each window's two rarest terms, of windows whose terms all occur."""
+def anchors(texts: DataFrame, win: DataFrame, whole: bool = True) -> DataFrame:
+    """(item_id, start, term1, off1, term2, off2): each window's two rarest terms, of windows whose terms all occur.
+
+    With whole=False, the two rarest terms that do occur of every window; the second is null where only one does.
+    """
     vocab = win.select("term").distinct()
     n = _scan(texts, _collect_terms(vocab), positions=False).groupBy("term").agg(F.sum("n").alias("n"))
     rare = Window.partitionBy("item_id", "start").orderBy("n", "off")
-    ranked = win.join(n, "term", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("r", F.row_number().over(rare))
+    ranked = win.join(n, "term", "left" if whole else "inner").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("r", F.row_number().over(rare))
     pick = lambda k, c: F.max(F.when(F.col("r") == k, F.col(c))).alias(f"{c}{k}")
     return ranked.groupBy("item_id", "start").agg(F.min("n").alias("least"), *[pick(k, c) for k in (1, 2) for c in ("term", "off")]).filter("least > 0").drop("least")
 
 
 def positional_index(texts: DataFrame, anchor: DataFrame) -> DataFrame:
     """(term, tbl, id, pos): the stored postings of all anchors over all texts."""
-    terms = anchor.select(F.explode(F.array("term1", "term2")).alias("term")).distinct()
+    terms = anchor.select(F.explode(F.array("term1", "term2")).alias("term")).filter("term is not null").distinct()
     return materialise(_scan(texts, _collect_terms(terms), positions=True), "postings")
 
 
@@ -188,13 +192,33 @@ def leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
     return phrase_matches(texts, items, phrase_candidates(index, anchor))
 
 
+@F.pandas_udf(T.LongType())
+def _chain(hits: pd.Series) -> pd.Series:
+    """The most hits (place, pos) of which both rise from one to the next."""
+    out = []
+    for x in hits:
+        ends: list[int] = []
+        for _, pos in sorted((h["place"], -h["pos"]) for h in x):
+            k = bisect.bisect_left(ends, -pos)
+            ends[k : k + 1] = [-pos]
+        out.append(len(ends))
+    return pd.Series(out, dtype="int64")
+
+
 def near_leaks(texts: DataFrame, items: DataFrame, slop: int = 6, least: int = 4) -> DataFrame:
-    """Proximity matches: (tbl, id, item_id, n_terms) of texts with `least` distinct anchors of an item in order, each within `slop` words of its place."""
+    """Proximity matches: (tbl, id, item_id, n_terms) of texts with `least` distinct anchors of an item in order, each within `slop` words of its place; and all exact matches.
+
+    Every window has anchors, also those with terms that occur in no text. An edited passage with fewer than
+    `least` anchors left is not found.
+    """
     win = materialise(windows(items), "windows")
-    anchor = materialise(anchors(texts, win), "anchors")
+    anchor = materialise(anchors(texts, win, whole=False), "anchors")
     index = positional_index(texts, anchor)
-    places = anchor.select("item_id", F.explode(F.array(F.struct(F.col("term1").alias("term"), (F.col("start") + F.col("off1")).alias("place")), F.struct(F.col("term2").alias("term"), (F.col("start") + F.col("off2")).alias("place")))).alias("x")).select("item_id", "x.*").distinct()
+    exact = phrase_matches(texts, items, phrase_candidates(index, anchor)).select("tbl", "id", "item_id", F.lit(True).alias("exact")).distinct()
+    spot = lambda k: F.struct(F.col(f"term{k}").alias("term"), (F.col("start") + F.col(f"off{k}")).alias("place"))
+    places = anchor.select("item_id", F.explode(F.array(spot(1), spot(2))).alias("x")).select("item_id", "x.*").filter("term is not null").distinct()
     hits = index.join(_sized(places), "term").withColumn("shift", F.col("pos") - F.col("place"))
     slots = F.array(F.floor(F.col("shift") / (2 * slop)), F.floor((F.col("shift") + slop) / (2 * slop)) + F.lit(1 << 40))
-    per = hits.select("tbl", "id", "item_id", "place", F.explode(slots).alias("slot")).groupBy("tbl", "id", "item_id", "slot").agg(F.count_distinct("place").alias("n"))
-    return per.groupBy("tbl", "id", "item_id").agg(F.max("n").alias("n_terms")).filter(F.col("n_terms") >= least)
+    per = hits.select("tbl", "id", "item_id", "place", "pos", F.explode(slots).alias("slot")).groupBy("tbl", "id", "item_id", "slot").agg(F.collect_set(F.struct("place", "pos")).alias("hits"))
+    most = per.withColumn("n", _chain(F.col("hits"))).groupBy("tbl", "id", "item_id").agg(F.max("n").alias("n_terms"))
+    return most.join(exact, ["tbl", "id", "item_id"], "left").filter((F.col("n_terms") >= least) | F.col("exact")).drop("exact")
