@@ -89,3 +89,21 @@ def test_very_long_sentence():
     m = L.train({})
     text = "the people who live here were asked " * 60_000
     assert [x[2] for x in L.segments(m, [text])[0]] == ["en"]
+
+
+def test_lists_and_unknown_languages():
+    """Sentences of lists count, names do not; what is in no known language has none."""
+    m = L.train({})
+    de = ["Die Patientin soll jeden Morgen das Medikament nehmen.", "Der Arzt hat den Befund geprüft und nichts gefunden.", "Bitte kommen Sie nach zwei Wochen wieder."]
+    for mark in ("- ", "* ", "1. ", "- 2) ", "a) "):
+        assert [x[2] for x in L.segments(m, ["\n".join(mark + s for s in de)])[0]] == ["de"]
+    none = ["- 1) Vorlum fever\n- 2) zorbax (7 mg)", "Пациент должен принимать лекарство каждое утро.", "患者は毎朝食後に薬を服用する必要があります。", "O paciente deve tomar o medicamento todas as manhãs depois do café."]
+    assert L.segments(m, none) == [[], [], [], []]
+
+
+def test_languages_from_labels(spark):
+    """A language that only the labels name, by its code, has a tree of its own."""
+    pt = ["O paciente deve tomar o medicamento todas as manhãs.", "A médica não encontrou nada de novo hoje.", "Volte ao hospital depois de duas semanas.", "As dores começaram há três dias durante a noite."]
+    rows = [(i, "pt-BR", " ".join([pt[i % 4], pt[(i + 1) % 4], f"Foram {i} dias."])) for i in range(60)] + [(100, None, " ".join(pt[:2])), (101, "en", L.GENERAL["en"]), (102, "pt", L.GENERAL["en"])]
+    df = spark.createDataFrame(rows, "id long, lang string, text string")
+    assert sorted(tuple(r) for r in L.wrong_labels(L.label_segments(df, "id", "lang", ["text"])).collect()) == [(100, "text", "pt"), (102, "text", "en")]

@@ -2,14 +2,18 @@
 
 A text is cut into sentences; each sentence gets its code length under every language's frozen context tree
 (see ppm.py) and belongs to the language with the shortest one. Neighbouring sentences of one language are a
-segment. Sentences that are only names, headings, list items or placeholders have no language: they join no
-segment. The confidence of a segment is the share of its language's probability, with the code lengths taken
-per LETTERS_PER_FACT letters, since neighbouring bytes are not independent evidence.
-
-The trees are learned from a bounded sample of labelled rows (SAMPLE_ROWS a language, the rows with the
+segment. Sentences that are only names, headings or placeholders have no language: they join no segment. The
+mark of a list item is left out and the rest judged: a whole sentence has a language, a few words (a name, an
+option) have none. Neither has a sentence in no known language: one whose letters are mostly of other scripts, or
+that the best tree codes worse than no tree at all would (NO_MODEL_BITS a byte). The confidence of a segment is the share of
+its language's probability, with the code lengths taken per LETTERS_PER_FACT letters, since neighbouring bytes
+are not independent evidence.
+
+The trees are learned from a bounded sample of labelled rows (SAMPLE_ROWS whole rows a language, those with the
 smallest hash of their key) and a few sentences of general text that are part of this module, so that a language
-is known even where no row is labelled with it. Labels may be wrong: sentences whose words fit another language
-better are left out before the training.
+is known even where no row is labelled with it. Other languages, named by a two-letter code in LEAST_LABELLED
+rows of the sample or more, get a tree of their own. Labels may be wrong: sentences whose words fit another
+language better are left out before the training.
 """
 
 from __future__ import annotations
@@ -27,8 +31,12 @@ from pyspark.sql import types as T
 
 from veriloom.llm.ppm import Ppm
 
-SAMPLE_ROWS = 400  # labelled rows a language for training
-SAMPLE_BYTES = 250_000  # bytes of sentences a language for training
+SAMPLE_ROWS = 200  # labelled rows a language for training
+LEAST_LABELLED = 50  # rows of the sample that name a language not listed below, for it to be one
+NO_MODEL_BITS = 8.0  # bits a byte of a text in a script of the trees, without any knowledge
+OTHER_SCRIPT = 0.3  # share of letters of other scripts that makes a sentence one of no known language
+ITEM_WORDS, ITEM_HAN = 6, 12  # words (Chinese characters) of a list item without a sentence end that make it a sentence
+ITEM_ENDED_WORDS, ITEM_ENDED_HAN = 3, 6  # and of one with a sentence end
 MARGIN_BITS = 16.0  # a sentence has a language if the second best is so much longer
 LETTERS_PER_FACT = 40.0
 CHUNK = 1_500_000  # bytes scored at once
@@ -54,17 +62,23 @@ GENERAL = {
 }
 
 _SPLIT = re.compile(r"\n+|(?<=[。！？；])|(?<=[.!?…])(?=\s)|(?<=[.!?…][)\"'”’»])(?=\s)|(?<=[.!?])(?=[一-鿿¿¡])")
-_ASIDE = re.compile(r"\s*(#{1,6}\s|[-*•]\s|\d+[.)]\s|[A-Ha-h][.)](\s|$)|=>|\*\*[^*]*\*\*\s*$|\[[^\]]*\]\s*$|<[^>]*>\s*$)")
+_ASIDE = re.compile(r"\s*(#{1,6}(\s|$)|\*\*[^*]*\*\*\s*$|\[[^\]]*\]\s*$|<[^>]*>\s*$)")
+_MARK = re.compile(r"\s*((?:[-*•]\s+)?(?:\d+[.)]\s+)|[-*•]\s+|[A-Ha-h][.)](?:\s+|$)|=>\s*)")
+_ENDED = re.compile(r"[.!?。！？][\"'”’»*_]*\s*$")
+_OTHER_LETTER = re.compile(r"[^\W\d_A-Za-zÀ-ɏ一-鿿㐀-䶿]")
 _PLACEHOLDER = re.compile(r"[\W_]*(n/?a|tbd|todo|null|none|nil|no answer|unknown|empty|placeholder|无|暂无|待定)[\W_]*", re.I)
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def declared(lang: Column) -> Column:
-    """The language that a declared value names, or null: codes and names in any case, with or without region."""
+def declared(lang: Column, others: tuple[str, ...] | list[str] = ()) -> Column:
+    """The language that a declared value names, or null: codes and names in any case, with or without region.
+
+    Of languages that are not listed above, those in others are known, by their code.
+    """
     head = F.split(F.lower(F.trim(lang)), r"[-_ (]").getItem(0)
-    out = F.lit(None).cast("string")
+    out = F.when(head.isin([x for x in others if x not in NAMES]), head)
     for code, names in NAMES.items():
         out = F.when(head.isin(names), F.lit(code)).otherwise(out)
     return out
@@ -86,12 +100,29 @@ def plain(sentence: str) -> bytes | None:
     """What is scored of a sentence; None if it can have no language."""
     if _ASIDE.match(sentence) or _PLACEHOLDER.fullmatch(sentence) or not _LETTER.search(sentence):
         return None
+    mark = _MARK.match(sentence)
+    if mark:
+        sentence = sentence[mark.end() :]
+        if not _is_sentence(sentence):
+            return None
+    if not sentence.isascii():
+        other = len(_OTHER_LETTER.findall(sentence))
+        if other and other > OTHER_SCRIPT * len(_LETTER.findall(sentence)):
+            return None
     out = _DIGITS.sub("0", sentence.replace("\ufffd", "")).lower().split()
     if len(out) < 2 and sentence.isascii():
         return None  # a lone word
     return " ".join(out).encode("utf-8", "replace")
 
 
+def _is_sentence(item: str) -> bool:
+    """Whether a list item is a sentence and not a name, an option or a value."""
+    ended = _ENDED.search(item) is not None
+    units = _WORD.findall(item)
+    han = sum(1 for w in units if "㐀" <= w[0] <= "鿿")
+    return han >= (ITEM_ENDED_HAN if ended else ITEM_HAN) or len(units) - han >= (ITEM_ENDED_WORDS if ended else ITEM_WORDS)
+
+
 def train(samples: dict[str, list[str]]) -> Ppm:
     """Context trees from texts by (partly wrong) declared language, in the order given.
 
@@ -101,18 +132,17 @@ def train(samples: dict[str, list[str]]) -> Ppm:
     """
     kept: dict[str, list[bytes]] = {}
     general: dict[str, int] = {}
-    for x, text in GENERAL.items():
-        kept[x] = [s for a, b in sentences(text) if (s := plain(text[a:b]))]
-        general[x], held = len(kept[x]), 0
-        for t in samples.get(x, []):
-            for a, b in sentences(t):
-                s = plain(t[a:b])
-                if s and held < SAMPLE_BYTES:
-                    kept[x].append(s)
-                    held += len(s)
+    for x in [*GENERAL, *sorted(x for x, texts in samples.items() if x not in GENERAL and len(texts) >= LEAST_LABELLED)]:
+        kept[x] = _plain_sentences(GENERAL.get(x, ""))
+        general[x] = len(kept[x])
+        kept[x] += [s for t in samples.get(x, []) for s in _plain_sentences(t)]
     for _ in range(SIFT_ROUNDS):
         kept = _sift(kept, general)
-    return Ppm(kept)
+    return Ppm({x: own for x, own in kept.items() if own})
+
+
+def _plain_sentences(text: str) -> list[bytes]:
+    return [s for a, b in sentences(text) if (s := plain(text[a:b]))]
 
 
 def _words(sentence: bytes) -> list[str]:
@@ -135,11 +165,11 @@ def _sift(kept: dict[str, list[bytes]], general: dict[str, int]) -> dict[str, li
 
 
 def sample_model(df: DataFrame, key: str, lang: str, fields: list[str]) -> Ppm:
-    """Trees learned from at most SAMPLE_ROWS rows a declared language (5 x SAMPLE_ROWS rows come to the driver)."""
+    """Trees learned from at most SAMPLE_ROWS whole rows a declared language, which come to the driver."""
     order = [F.xxhash64(key), F.col(key)]
     rows = (
-        df.select(F.col(key).alias("_k"), declared(F.col(lang)).alias("_l"), *[F.substring(F.col(f), 1, 4000).alias(f"_f{i}") for i, f in enumerate(fields)], F.xxhash64(key).alias("_h"))
-        .filter(F.col("_l").isNotNull())
+        df.select(F.col(key).alias("_k"), F.coalesce(declared(F.col(lang)), F.regexp_extract(F.lower(F.trim(F.col(lang))), "^([a-z]{2})([-_ (]|$)", 1)).alias("_l"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(fields)], F.xxhash64(key).alias("_h"))
+        .filter(F.col("_l") != "")
         .withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k", *[f"_f{i}" for i in range(len(fields))])))
         .filter(F.col("_n") <= SAMPLE_ROWS)
         .drop("_h", "_k")
@@ -170,11 +200,11 @@ def score_all(model: Ppm, texts: list[bytes]) -> np.ndarray:
     return np.concatenate(parts)[codes] if len(codes) else np.zeros((0, len(model.langs)))
 
 
-def segments(model: Ppm, texts: list[str | None]) -> list[list[tuple[int, int, str, float, int]]]:
-    """For each text its segments (start, end, language, confidence, letters)."""
+def segments(model: Ppm, texts: list[str | None], bounds: list[list[tuple[int, int]]] | None = None) -> list[list[tuple[int, int, str, float, int]]]:
+    """For each text its segments (start, end, language, confidence, letters). bounds: the texts' sentences, if known."""
     where, what = [], []
     for i, t in enumerate(texts):
-        for a, b in sentences(t) if t else ():
+        for a, b in (bounds[i] if bounds else sentences(t)) if t else ():
             s = plain(t[a:b])
             if s:
                 where.append((i, a, b, len(s)))
@@ -185,7 +215,9 @@ def segments(model: Ppm, texts: list[str | None]) -> list[list[tuple[int, int, s
     bits = score_all(model, what)
     order = np.sort(bits, axis=1)
     best = np.argmin(bits, axis=1)
-    sure = order[:, 1] - order[:, 0] >= MARGIN_BITS
+    if order.shape[1] < 2:
+        order = np.column_stack([order, np.full(len(order), np.inf)])
+    sure = (order[:, 1] - order[:, 0] >= MARGIN_BITS) & _known(order[:, 0], what)
     cur: list = [-1, 0, 0, "", None, 0]
     for (i, a, b, n), k, ok, row in zip(where, best, sure, bits):
         if not ok:
@@ -199,6 +231,16 @@ def segments(model: Ppm, texts: list[str | None]) -> list[list[tuple[int, int, s
     return out
 
 
+def _known(bits: np.ndarray, what: list[bytes]) -> np.ndarray:
+    """Whether the best code is better than that without any tree. Chinese characters are too many for a bound a byte."""
+    size = np.fromiter(map(len, what), np.int64, len(what))
+    out = bits <= NO_MODEL_BITS * size
+    for i in np.flatnonzero(~out):
+        s = what[i].decode("utf-8", "replace")
+        out[i] = 2 * sum("㐀" <= c <= "鿿" for c in s) > sum(c.isalpha() for c in s)
+    return out
+
+
 def _close(out: list[list], model: Ppm, cur: list) -> None:
     i, a, b, k, row, n = cur
     if i >= 0:
@@ -246,12 +288,12 @@ def label_segments(df: DataFrame, key: str, lang: str, fields: list[str], model:
                 out["id"] = out["id"].astype("Int64")
                 yield out
 
-    cols = [F.col(key).cast("long").alias("_id"), declared(F.col(lang)).alias("_dec"), *[F.col(f) for f in fields]]
+    cols = [F.col(key).cast("long").alias("_id"), declared(F.col(lang), model.langs).alias("_dec"), *[F.col(f) for f in fields]]
     return df.select(*cols).mapInPandas(run, SEGMENT)
 
 
 def distinct_segments(segs: DataFrame) -> DataFrame:
-    """Each segment once, however often its record was delivered."""
+    """Each segment once, however often its record was delivered; deliveries of a record hold the same."""
     return segs.dropDuplicates(["id", "field", "seg_no"])
 
 
