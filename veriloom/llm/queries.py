@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
     sft = load(spark, d, "sft").select(F.lit("sft").alias("tbl"), F.col("sft_id").alias("record_id"), "source", F.col("complex_cot").alias("text"))
     pred = load(spark, d, "prediction").select(F.lit("prediction").alias("tbl"), F.col("prediction_id").alias("record_id"), "source", F.col("output").alias("text"))
-    return truncation.cut_texts(sft.unionByName(pred)).dropDuplicates(["tbl", "record_id"])
+    return truncation.cut_texts(sft.unionByName(pred), evidence=True).dropDuplicates(["tbl", "record_id"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
