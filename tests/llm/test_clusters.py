@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import random
 
-from veriloom.llm import pairs
+from veriloom.llm import templates
 
 
 def _components(units):
-    sets = {u: set(pairs.shingles(u)) for u in units}
+    sets = {u: set(templates.shingles(u.split(" "))) for u in units}
     rep = {u: u for u in units}
 
     def root(u):
@@ -16,7 +16,7 @@ def _components(units):
             u = rep[u]
         return u
 
-    links = [(u, v) for u in units for v in units if u < v and len(sets[u] & sets[v]) / len(sets[u] | sets[v]) >= pairs.SIMILAR]
+    links = [(u, v) for u in units for v in units if u < v and len(sets[u] & sets[v]) / len(sets[u] | sets[v]) >= templates.SIMILAR]
     for u, v in links:
         a, b = sorted((root(u), root(v)))
         rep[b] = a
@@ -24,7 +24,7 @@ def _components(units):
 
 
 def test_all_links(spark, monkeypatch):
-    monkeypatch.setattr(pairs, "BLOCK", 3)
+    monkeypatch.setattr(templates, "BLOCK", 3)
     rng = random.Random(5)
     units = set()
     for k in range(6):
@@ -36,5 +36,8 @@ def test_all_links(spark, monkeypatch):
     units |= {"short", "a b c d e", "a b c d e f"}
     units = sorted(units)
     links, want = _components(units)
-    got = {r.unit: r.rep for r in pairs.clusters(spark.createDataFrame([(u,) for u in units], "unit string")).collect()}
-    assert len(links) > 20 and got == want
+    names = {templates.code(u): u for u in units}
+    found = templates.clusters(spark.createDataFrame(list(names.items()), "unit long, text string")).collect()
+    groups = lambda rep: {frozenset(u for u in rep if rep[u] == r) for r in rep.values()}
+    linked = {u for x in links for u in x}
+    assert len(links) > 20 and groups({names[r.unit]: r.cluster for r in found}) == groups({u: r for u, r in want.items() if u in linked})

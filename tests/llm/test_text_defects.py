@@ -54,14 +54,51 @@ def test_cuts(spark):
 
 def test_limits(spark):
     rng = random.Random(1)
-    cut = [("t", i, "s", ("word " * 80)[:300]) for i in range(40)] + [("t", 100 + i, "s", "x" * rng.randint(30, 700)) for i in range(60)]
+    cut = [("t", i, "s", (f"word{i} " * 80)[:300]) for i in range(40)] + [("t", 900 + i, "s", "y" * 200) for i in range(40)] + [("t", 100 + i, "s", "x" * rng.randint(30, 700)) for i in range(60)]
     df = spark.createDataFrame(cut, "tbl string, id long, source string, text string")
-    assert [r.n_chars for r in truncation.limits(df.selectExpr("tbl", "length(text) AS n_chars")).collect()] == [300]
+    found = truncation.limits(df.selectExpr("tbl", "length(text) AS n_chars", "xxhash64(text) AS h"), "tbl")
+    # many texts that are the same are one
+    assert [r.n_chars for r in found.filter(f"bits >= {truncation.AT_LIMIT_BITS}").collect()] == [300]
 
 
 def test_trie(spark):
-    w = spark.createDataFrame([("ab", 2), ("abc", 3)], "word string, n long")
-    assert {r.prefix: (r.as_word, r.below) for r in truncation.trie(w).collect()} == {"a": (0, 5), "ab": (2, 3), "abc": (3, 0)}
+    w = spark.createDataFrame([("ab", 2, 1), ("abc", 3, 0), ("疗法", 4, 2)], "word string, n long, closing long")
+    names = {r.h: r.w for r in spark.createDataFrame([(x,) for x in ("a", "ab", "abc", "疗", "疗法")], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    assert {names[r.key]: (r.as_word, r.below, r.closing) for r in truncation.trie(w).collect()} == {"a": (0, 5, 0), "ab": (2, 3, 1), "abc": (3, 0, 0), "疗法": (4, 0, 2)}
+
+
+def test_vocabulary(spark):
+    t = spark.createDataFrame([("ab, cd.\nAb cd",), ("药物。药物 x",), (None,), ("",)], "text string")
+    got = {r.word: (r.n, r.closing) for r in truncation.vocabulary(t).collect()}
+    assert got == {"ab": (1, 0), ",": (1, 0), "cd": (1, 1), "Ab": (1, 0), "药": (2, 0), "物": (2, 1), "药物": (2, 1)}
+
+
+WHOLE = ["Aspirin 81 mg daily", "Community-acquired pneumonia", "Acute appendicitis, treat with surgery"]
+
+
+def test_unpunctuated_answers_are_whole(spark):
+    """Whole answers without a stop are not cut, however often they recur; a final word behind which nothing ends is."""
+    rows = [("t", i, t) for i, t in enumerate(corpus())] + [("t", 1000 + 100 * k + i, t) for k, t in enumerate(WHOLE) for i in range(50)]
+    rows += [("t", 5000, "A second visit after some")]
+    got = truncation.cut_texts(spark.createDataFrame(rows, "tbl string, id long, text string"), evidence=True).collect()
+    assert all(r.cut is None for r in got if r.id < 5000)
+    last = next(r for r in got if r.id == 5000)
+    assert last.follow_bits > 2 and last.stop_bits == -5
+
+
+@pytest.mark.parametrize(("text", "empty"), [("N/A" + " " * 500, True), ("TBD" + "\n" * 450, True), ("-" * 5000, True), ("# a\n" * 300, True), ("# a\n" * 300 + "so", False), ("none of these", False), ("\u200b" * 900, True)])
+def test_long_empty_texts(spark, text, empty):
+    df = spark.createDataFrame([("t", 1, text)], "tbl string, id long, text string")
+    assert truncation.cut_texts(df).first().empty is empty
+
+
+def test_many_end_marks_and_long_words(spark):
+    rows = [("t", 1, "It was fine." + "</s>" * 40), ("t", 2, "It was fine. " + "a" * 3000)]
+    got = {r.id: r for r in spark.createDataFrame(rows, "tbl string, id long, text string").select("id", truncation.trimmed(__import__("pyspark").sql.functions.col("text")).alias("t")).collect()}
+    assert got[1].t == "It was fine."
+    words = spark.createDataFrame([("a" * 4000, 5, 0)], "word string, n long, closing long")
+    cut = {r.id: r.cut for r in truncation.cut_texts(spark.createDataFrame(rows, "tbl string, id long, text string"), words).collect()}
+    assert cut == {1: None, 2: "mid_word"}
 
 
 Q = "A man of 40 years has had a dry cough for nine days and sleeps badly at night. The heart is sound and the lungs are clear. What should be given next?"
@@ -69,7 +106,7 @@ Q = "A man of 40 years has had a dry cough for nine days and sleeps badly at nig
 
 @pytest.mark.parametrize(
     ("text", "same"),
-    [(Q, True), (Q.lower(), True), ("Question: " + Q, True), (Q.replace(".", " ").replace(",", " "), True), (Q[: Q.rindex(".") + 1], True), (Q[:60], False), (Q + " Please take the medicine that helps you most every day.", False), ("He should rest.", False)],
+    [(Q, True), (Q.lower(), True), (Q.replace(" ", " " * 10), True), ("**" + Q.replace(". ", ".**\n\n\n**") + "**", True), ("Question: " + Q, True), (Q.replace(".", " ").replace(",", " "), True), (Q[: Q.rindex(".") + 1], True), (Q[:60], False), (Q + " Please take the medicine that helps you most every day.", False), ("He should rest.", False)],
 )
 def test_copy(text, same):
     assert pairs.is_copy(text, Q) is same
@@ -96,7 +133,35 @@ def test_defects(spark):
     assert pairs.defects(df.limit(0), "sft_id", "lang", "question", ["response"], language.train({})).count() == 0
 
 
-def test_clusters(spark):
-    u = ["a b c d e f g h i j k l m n o p q r s t u v w x y", "a b c d e f g h i j k l m n o p q r s t u v w x z", "q q q q q q", "short"]
-    got = {r.unit: r.rep for r in pairs.clusters(spark.createDataFrame([(x,) for x in u], "unit string")).collect()}
-    assert got == {u[0]: u[0], u[1]: u[0], u[2]: u[2], u[3]: u[3]}
+def _pairs(spark, rows):
+    return spark.createDataFrame([(i, "en", q, language.GENERAL["en"], a) for i, (q, a) in enumerate(rows)], "sft_id long, lang string, question string, complex_cot string, response string")
+
+
+def _prompt(i):
+    return " ".join(f"p{i}w{k}" for k in range(12)) + "?"
+
+
+def test_long_refusals_and_short_answers(spark):
+    """A refusal of seven sentences is one; a short answer that recurs is none, nor is what copies of one prompt get."""
+    no = ["I cannot answer this.", "I am not able to discuss it.", "I must decline to answer.", "I am afraid I cannot help.", "I cannot give advice.", "It is outside what I may discuss.", "I am unable to assist with this request."]
+    rows = [(_prompt(i), "The correct answer is option B.") for i in range(8)] + [(_prompt(20), " ".join(no))]
+    got = {(r.id, r.defect) for r in pairs.defects(_pairs(spark, rows), "sft_id", "lang", "question", ["response"]).collect()}
+    assert got == {(8, "refusal")}
+
+
+def test_templates_without_wordings(spark, monkeypatch):
+    """Templates that are the whole answer to unrelated prompts, alone and beside each other, decline; the wordings are not needed."""
+    from veriloom.llm import templates
+
+    monkeypatch.setattr(templates, "DECLINE", [])
+    rng = random.Random(4)
+    no = ["Nulla da dire su questo argomento oggi.", "Su questo argomento non parlo mai con nessuno.", "Di {} non posso dire proprio nulla qui adesso."]
+    content = [f"Part {k} says that the number {{}} is the right one for all of us." for k in range(9)]
+    said = lambda t, i: t.format(f"n{i}")
+    rows = [(_prompt(i), " ".join(said(t, i) for t in rng.sample(content, 4))) for i in range(60)]
+    first = len(rows)
+    rows += [(_prompt(100 + i), said(no[i % 3], i) + (" " + said(no[(i + 1) % 3], i) if i % 4 == 0 else "")) for i in range(36)]
+    feats = pairs.features(_pairs(spark, rows), "sft_id", "question", ["response"], language.train({}))
+    openings = feats.selectExpr("units[0].unit AS unit", "opening AS text").dropDuplicates(["unit"])
+    got = {r.id for r in templates.refusals(feats.select("id", "field", "prompt", "units"), openings).collect()}
+    assert got == set(range(first, len(rows)))

@@ -2,15 +2,10 @@
 
 Kinds, in this order where several fit: empty, copy, refusal, truncated, other_language.
 
-Refusals come from the data. The openings of all answers (their first sentences) are linked where their shingles of
-five words have a similarity of SIMILAR or more, and connected to clusters. A cluster that recurs across unrelated
-prompts is a template; so is a shared head, the first five words, where a name varies behind it. A template
-whose answers hold nothing but declining openings (its closed share) declines itself; one that answers go on
-from, however apologetic it sounds, does not. The wording of refusals (DECLINE) is where this starts from, and
-judges the templates too rare to judge. An answer is a refusal if all of its sentences decline.
-
-Copies are judged against the own question by their words; languages by the context trees of language.py, in
-the same pass; truncation by truncation.py.
+Refusals come from the data: templates that recur across unrelated prompts and are whole answers to them (see
+templates.py). An answer is a refusal if all of its sentences decline, however many. Copies are judged against
+the own question by their words; languages by the context trees of language.py, in the same pass; truncation by
+truncation.py.
 """
 
 from __future__ import annotations
@@ -19,46 +14,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.llm import language, neardup, truncation
+from veriloom.llm import language, templates, truncation
 from veriloom.session import materialise
 
 KINDS = ["empty", "copy", "refusal", "truncated", "other_language"]  # the first that fits holds
-UNITS = 6  # sentences of an answer that are its opening; a longer answer is no refusal
-SHINGLE = 5
-SIMILAR = 0.8
-BLOCK = 2000  # openings of one shingle that are compared in one piece
-MIN_PROMPTS = 5  # unrelated prompts before a template is judged by its closed share
-CLOSED_SHARE, OPEN_SHARE = 0.7, 0.3
-ROUNDS = 2
-COPY_SHARE = 0.92  # words shared, in order to be a copy
+COPY_SHARE = 0.92  # pairs of words shared, in order to be a copy
+COPY_WORDS = 5  # fewer words are no copy
 LABEL_CHARS = 40
 
-# Wordings by which an answer is declined, by language.
-DECLINE = [
-    # en
-    r"\b(sorry|afraid|unable|decline|refuse)\b.*\b(help|answer|discuss|comment|assist|request|question)",
-    r"\b(can ?not|can ?t|won ?t|not (be )?able to|not allowed|must not|may not|do not feel comfortable|prefer not)\b.*\b(help|answer|answering|discuss|give|provide|talk|assist|advice|comment)",
-    r"\b(outside|beyond) what i\b|against my (guidelines|rules|policy)|\bno comment\b|\bas an ai\b.*\b(not|cannot|can t)\b|only your (physician|doctor) may",
-    # zh
-    r"(无法|不能|不便|不可以|拒绝|不会).{0,30}(回答|作答|讨论|提供|帮助|建议|谈论|评论)|超出了?我|只能到此为止|不便",
-    # de
-    r"\b(leider|leid|nicht|keine)\b.*\b(helfen|auskunft|beantworten|antworten|sprechen|äußern|besprechen|geben)\b|\b(darf|möchte|kann) ich .*\b(nicht|keine)\b",
-    # fr
-    r"\b(désolée?|regrette|ne (peux|puis|pourrai|saurais|souhaite|suis)|préfère ne)\b.*\b(répondre|aider|discuter|parler|donner|avis|conseils?|autorisée?|demande)\b|\bpréfère ne pas\b|\bdépasse\b.*\bje\b",
-    # es
-    r"\b(lo siento|no (puedo|debo|podré|me es posible)|prefiero no|lamento)\b.*\b(ayudar|responder|contestar|hablar|comentar|dar|tratar|petición|pregunta)\b|\bprefiero no\b|fuera de lo que puedo",
-]
-# Courtesies that may stand beside a refusal and answer nothing.
-POLITE = r"\b(some|any)thing else\b|^thank you for\b|其他问题|谢谢您|感谢您|^(vielen )?dank|^merci\b|^gracias\b"
-_POLITE = re.compile(POLITE)
-_DECLINE = re.compile("|".join(f"(?:{p})" for p in DECLINE), re.I | re.S)
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
-_HAN_GAP = re.compile(r"(?<=[一-鿿]) (?=[一-鿿])")
-_HEADING = re.compile(r"(?m)^[ \t]*#{1,6}(?:[ \t].*)?$")
+_HEADING = re.compile(r"[ \t]*#{1,6}(?:[ \t].*)?")
 
 
 def words(text: str) -> list[str]:
@@ -67,23 +36,24 @@ def words(text: str) -> list[str]:
 
 
 def is_copy(text: str, question: str) -> bool:
-    """Whether text is the question, or all of it but its last sentence, apart from case, punctuation, blanks and a label in front."""
+    """Whether text is the question, or all of it but its last sentence, apart from case, punctuation, blanks, markup and a label in front."""
     bounds = language.sentences(question)
-    head = question[: bounds[-1][0]] if len(bounds) > 1 else ""
-    # lengths too far apart cannot be the same words, with a label or blanks more
-    if not any(0.6 * len(f) <= len(text) <= 1.6 * len(f) + LABEL_CHARS for f in (question, head) if f):
-        return False
-    q, t, short = words(question), words(text), words(head)
-    if len(q) < SHINGLE or len(t) < SHINGLE:
+    short = words(question[: bounds[-1][0]]) if len(bounds) > 1 else []
+    return _copied(text, words(text), words(question), short)
+
+
+def _copied(text: str, t: list[str], q: list[str], short: list[str]) -> bool:
+    if len(q) < COPY_WORDS or len(t) < COPY_WORDS:
         return False
+    if any(_alike(t, w) for w in (q, short) if len(w) >= COPY_WORDS):
+        return True
     label = re.match(r"\W*([^:：\n]{1,%d})[:：]" % LABEL_CHARS, text)
-    forms = [t] + ([t[len(words(label[1])) :]] if label else [])
-    return any(_alike(f, w) for f in forms for w in (q, short) if len(w) >= SHINGLE)
+    return label is not None and any(_alike(t[len(words(label[1])) :], w) for w in (q, short) if len(w) >= COPY_WORDS)
 
 
 def _alike(a: list[str], b: list[str]) -> bool:
     if not 0.9 <= (len(a) + 1) / (len(b) + 1) <= 1.1:
-        return False
+        return "".join(a) == "".join(b)
     if a == b or "".join(a) == "".join(b):
         return True
     grams = lambda w: set(zip(w, w[1:]))
@@ -98,47 +68,43 @@ FEATURE = T.StructType(
         T.StructField("prompt", T.LongType()),
         T.StructField("copy", T.BooleanType()),
         T.StructField("foreign", T.BooleanType()),
-        T.StructField("n_units", T.IntegerType()),
-        T.StructField("units", T.ArrayType(T.StringType())),
+        T.StructField("opening", T.StringType()),
+        T.StructField("units", T.ArrayType(templates.UNIT)),
     ]
 )
 
 
-def _units(text: str) -> tuple[int, list[str]]:
-    """(number of sentences, the opening: all of at most UNITS sentences, the first two of more)."""
-    out = []
-    body = _HEADING.sub("", text)
-    for a, b in language.sentences(body):
-        w = words(body[a:b])
-        if w:
-            out.append(w)
-    return len(out), [" ".join("0" if x.isdigit() else x for x in w) for w in (out if len(out) <= UNITS else out[:2])]
-
-
 def features(df: DataFrame, key: str, question: str, answers: list[str], model: object) -> DataFrame:
-    """One row (schema FEATURE) for each answer field of each row: copy, language and opening, in one pass."""
+    """One row (schema FEATURE) for each answer field of each row: copy, language, opening and sentences, in one pass."""
     held = df.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in FEATURE]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
+        m, read = held.value, templates.Reader()
         for whole in batches:
             for lo in range(0, len(whole), 1000):
                 b = whole.iloc[lo : lo + 1000]
                 asked = [t if isinstance(t, str) else None for t in b["_q"]]
-                main = [_main(s) for s in language.segments(m, asked)]
+                ends = [language.sentences(t) if t else [] for t in asked]
+                main = [_main(s) for s in language.segments(m, asked, ends)]
+                told = [words(t) if t else [] for t in asked]
+                short = [words(t[: e[-1][0]]) if len(e) > 1 else [] for t, e in zip(asked, ends)]
+                prompt = [templates.sketch(w) if w else i for i, w in zip(b["_p"], told)]
                 rows = []
                 for f in answers:
                     texts = [t if isinstance(t, str) else None for t in b[f]]
-                    for rid, ph, q, ql, t, segs in zip(b["_id"], b["_p"], asked, main, texts, language.segments(m, texts)):
-                        n, units = _units(t) if t else (0, [])
-                        foreign = bool(ql and segs and all(s[2] != ql for s in segs))
-                        rows.append((rid, f, ph, bool(q and t and is_copy(t, q)), foreign, n, units))
+                    bounds = [language.sentences(t) if t else [] for t in texts]
+                    for rid, p, q, s, ql, t, e, segs in zip(b["_id"], prompt, told, short, main, texts, bounds, language.segments(m, texts, bounds)):
+                        body = [(x, w) for x, y in e if not _HEADING.fullmatch(t, x, y) and (w := words(t[x:y]))]
+                        said = [w for _, w in body]
+                        foreign = bool(ql and segs and all(x[2] != ql for x in segs))
+                        opening = " ".join("0" if x.isdigit() else x for x in said[0]) if said else None
+                        rows.append((rid, f, p, bool(q and said) and _copied(t[body[0][0] :], [x for w in said for x in w], q, s), foreign, opening, [read(w) for w in said]))
                 out = pd.DataFrame(rows, columns=names)
                 out["id"] = out["id"].astype("Int64")
                 yield out
 
-    cols = [F.col(key).cast("long").alias("_id"), F.col(question).alias("_q"), F.xxhash64(question).alias("_p"), *[F.col(a) for a in answers]]
+    cols = [F.col(key).cast("long").alias("_id"), F.col(question).alias("_q"), F.xxhash64(key).alias("_p"), *[F.col(a) for a in answers]]
     return df.select(*cols).mapInPandas(run, FEATURE)
 
 
@@ -149,126 +115,6 @@ def _main(segs: list) -> str | None:
     return max(sorted(size), key=size.get) if size else None
 
 
-# --- templates: clusters of openings ----------------------------------------------------------------------
-
-def shingles(unit: str) -> list[str]:
-    w = unit.split(" ")
-    return [" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaccard similarity of the shingle sets of two units."""
-    out = []
-    for x, y in zip(a, b):
-        s, t = set(shingles(x)), set(shingles(y))
-        out.append(len(s & t) / len(s | t))
-    return pd.Series(out, dtype=float)
-
-
-def openings(feats: DataFrame) -> DataFrame:
-    """(id, field, n_units, prompt, unit): each distinct opening sentence of each answer."""
-    return feats.select("id", "field", "n_units", "prompt", F.explode(F.array_distinct("units")).alias("unit"))
-
-
-def _prefixes(coded: DataFrame) -> DataFrame:
-    """(uid, n, pos, code, blocks): the rarest of each unit's n shingles, of which two units at SIMILAR share one at least."""
-    posting = coded.select("uid", F.size("codes").alias("n"), F.explode("codes").alias("code"))
-    freq = posting.groupBy("code").agg(F.count("*").alias("f"))
-    length = F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9).cast("int") + 1
-    ranked = posting.join(freq, "code").groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("f", "code"))).alias("x"))
-    rare = ranked.select("uid", "n", F.posexplode(F.slice("x", F.lit(1), length)).alias("pos", "x")).select("uid", "n", "pos", "x.code").filter("x.f > 1")
-    size = rare.groupBy("code").agg(F.count("*").alias("k")).filter("k > 1")
-    return rare.join(size, "code").select("uid", "n", "pos", "code", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-
-
-def _similar(coded: DataFrame) -> DataFrame:
-    """(x, y): all pairs of units (uid, unit, codes) at SIMILAR or more.
-
-    The units of a shingle are compared block by block, so that one of any number of units is many small tasks. Pairs
-    whose sizes, or whose shingles behind the shared one, are too few for SIMILAR are not compared.
-    """
-    rare = materialise(_prefixes(coded), "prefixes")
-    own, each = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = rare.select("code", own.alias("i"), each.alias("j"), F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    b = rare.select("code", each.alias("i"), own.alias("j"), F.col("uid").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    sizes = F.least("nx", "ny") >= SIMILAR * F.greatest("nx", "ny") - 1e-9
-    left = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= SIMILAR / (1 + SIMILAR) * (F.col("nx") + F.col("ny")) - 1e-9
-    near = a.join(b, ["code", "i", "j"]).filter((F.col("x") < F.col("y")) & sizes & left).select("x", "y").distinct()
-    texts = lambda k, u: coded.select(F.col("uid").alias(k), F.col("unit").alias(u))
-    return near.join(texts("x", "u"), "x").join(texts("y", "v"), "y").filter(similarity(F.col("u"), F.col("v")) >= SIMILAR).select("x", "y")
-
-
-def clusters(units: DataFrame) -> DataFrame:
-    """(unit, rep): connected groups of distinct openings linked at SIMILAR or more, named by their first one.
-
-    Links are all there are, by a prefix filter over the shingles, each verified.
-    """
-    w = F.split("unit", " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1)))
-    parts = F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(SHINGLE)))))
-    coded = materialise(units.select(F.monotonically_increasing_id().alias("uid"), "unit", F.transform(parts, lambda p: F.xxhash64(p)).alias("codes")), "coded")
-    tbl = F.lit("units").alias("tbl")
-    found = neardup.groups(coded.select(tbl, F.col("uid").alias("id"), F.col("uid").alias("rep")), _similar(coded).select(tbl, "x", "y"))
-    named = coded.select("uid", "unit").join(found.select(F.col("id").alias("uid"), "group_id"), "uid")
-    first = named.groupBy("group_id").agg(F.min("unit").alias("rep"))
-    return named.join(first, "group_id").select("unit", "rep")
-
-
-def _joined(unit: str) -> str:
-    """The unit with its Chinese characters next to each other again."""
-    return _HAN_GAP.sub("", unit)
-
-
-@F.pandas_udf(T.BooleanType())
-def polite(units: pd.Series) -> pd.Series:
-    """Whether the wording is a courtesy."""
-    return units.map(lambda u: bool(_POLITE.search(_joined(u))))
-
-
-@F.pandas_udf(T.BooleanType())
-def declines(units: pd.Series) -> pd.Series:
-    """Whether the wording is one of a refusal."""
-    return units.map(lambda u: bool(_DECLINE.search(_joined(u))))
-
-
-def _shares(opened: DataFrame, units: DataFrame, known: DataFrame) -> DataFrame:
-    """(unit, share): how often the unit's template stands in answers that hold nothing else but known units.
-
-    A template is the unit's cluster, or, where that is too rare to judge, what has the same head. Null for
-    templates of fewer than MIN_PROMPTS prompts.
-    """
-    rows = opened.join(known, "unit").withColumn("unknown", (~F.col("known")).cast("int"))
-    others = F.sum("unknown").over(Window.partitionBy("id", "field")) - F.col("unknown")
-    closed = (F.col("n_units") <= UNITS) & (others == 0)
-    per = rows.withColumn("closed", closed).groupBy("unit").agg(F.count("*").alias("n"), F.count_if("closed").alias("n_closed"), F.approx_count_distinct("prompt", 0.05).alias("n_prompts"))
-    tagged = per.join(units, "unit")
-    stat = lambda by: tagged.groupBy(by).agg((F.sum("n_closed") / F.sum("n")).alias(f"{by}_share"), F.sum("n_prompts").alias(f"{by}_prompts"))
-    both = tagged.join(stat("rep"), "rep").join(stat("head"), "head")
-    judged = lambda by: F.when(F.col(f"{by}_prompts") >= MIN_PROMPTS, F.col(f"{by}_share"))
-    return both.select("unit", F.coalesce(judged("rep"), judged("head")).alias("share"))
-
-
-def declining_units(opened: DataFrame) -> DataFrame:
-    """(unit, declining) of all opening sentences.
-
-    At first the units worded as refusals are known; then those that the templates show to decline. A template
-    with a high closed share declines whatever its wording, one with a low share does not; between and below, and
-    for rare templates, the wording decides.
-    """
-    distinct = opened.select("unit").distinct()
-    worded = F.col("worded") | F.col("courtesy")
-    units = distinct.join(clusters(distinct), "unit").withColumn("head", F.concat_ws(" ", F.slice(F.split("unit", " "), 1, SHINGLE)))
-    units = materialise(units.withColumn("worded", declines(F.col("unit"))).withColumn("courtesy", polite(F.col("unit"))), "units")
-    known = units.select("unit", worded.alias("known"))
-    for k in range(ROUNDS):
-        told = units.join(_shares(opened, units.select("unit", "rep", "head"), known), "unit")
-        shut, opens = F.coalesce(F.col("share") >= CLOSED_SHARE, F.lit(False)), F.coalesce(F.col("share") < OPEN_SHARE, F.lit(False))
-        # units are only added while the rounds run, so that two that always stand together find each other
-        known = materialise(told.select("unit", (shut | worded & (~opens if k == ROUNDS - 1 else F.lit(True))).alias("known")), "declining")
-    return known.withColumnRenamed("known", "declining")
-
-
 def defects(df: DataFrame, key: str, lang: str, question: str, answers: list[str], model: object | None = None) -> DataFrame:
     """(id, field, defect) of every defective answer field.
 
@@ -277,9 +123,8 @@ def defects(df: DataFrame, key: str, lang: str, question: str, answers: list[str
     """
     model = model or language.sample_model(df, key, lang, [question, *answers])
     feats = materialise(features(df, key, question, answers, model), "pairs")
-    opened = openings(feats)
-    short = opened.filter(F.col("n_units") <= UNITS).join(declining_units(opened), "unit")
-    refused = short.groupBy("id", "field").agg(F.min("declining").alias("all_decline")).filter("all_decline")
+    openings = feats.filter("opening is not null").groupBy(F.element_at("units", 1)["unit"].alias("unit")).agg(F.first("opening").alias("text"))
+    refused = templates.refusals(feats.select("id", "field", "prompt", "units"), openings)
     texts = df.select(F.col(key).cast("long").alias("id"), F.explode(F.array(*[F.struct(F.lit(a).alias("tbl"), F.col(a).alias("text")) for a in answers])).alias("x")).select("id", "x.tbl", "x.text")
     cuts = truncation.cut_texts(texts)
     found = {
