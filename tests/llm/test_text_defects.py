@@ -165,3 +165,47 @@ def test_templates_without_wordings(spark, monkeypatch):
     openings = feats.selectExpr("units[0].unit AS unit", "opening AS text").dropDuplicates(["unit"])
     got = {r.id for r in templates.refusals(feats.select("id", "field", "prompt", "units"), openings).collect()}
     assert got == set(range(first, len(rows)))
+
+
+def test_cues_and_sketches(sf):
+    """No wording goes unseen for want of a cue; edited copies of a prompt mostly have one sketch, others differ."""
+    import re
+
+    import pandas as pd
+
+    from veriloom.llm import templates
+
+    pattern = re.compile("|".join([*(f"(?:{p})" for p in templates.DECLINE), templates.POLITE]), re.I | re.S)
+    d = pd.read_parquet(sf.replace("sf0.001", "sf0.01") + "/sft.parquet")
+    hits = 0
+    for t in [*d.response.dropna(), *d.complex_cot.dropna()]:
+        for a, b in language.sentences(t):
+            u = templates.unit(pairs.words(t[a:b]))
+            if pattern.search(templates._HAN_GAP.sub("", u)):
+                hits += 1
+                assert not templates.CUES.isdisjoint(u.split(" "))
+    assert hits > 5
+    w = [f"w{i}" for i in range(60)]
+    edited = [w[:k] + ["x"] + w[k + 1 :] for k in range(0, 60, 3)]
+    assert len(set(templates.sketches(edited, range(20)))) <= 4
+    assert templates.sketches([[], ["a"], ["a"], ["b"], ["a", "b"]], range(5))[0] == 0
+    assert len(set(templates.sketches([[], ["a"], ["a"], ["b"], ["a", "b"]], range(5)))) == 4
+
+
+def test_lazy_languages_are_the_same():
+    """Main language and foreignness, scored as far as needed, are those of all segments."""
+    m, rng = language.train({}), random.Random(3)
+    parts = [language.GENERAL[x][a:b] for x in language.GENERAL for a, b in language.sentences(language.GENERAL[x])]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(200)] + ["", None, "N/A", "Zorbax"]
+    bounds = [language.sentences(t) if t else [] for t in texts]
+    segs = language.segments(m, texts)
+
+    def main(x):
+        size = {}
+        for s in x:
+            size[s[2]] = size.get(s[2], 0) + s[4]
+        return max(sorted(size), key=size.get) if size else None
+
+    assert language.main_languages(m, texts, bounds) == [main(x) for x in segs]
+    own = [rng.choice(["en", "de", None]) for _ in texts]
+    assert language.wholly_foreign(m, texts, bounds, own) == [bool(o and x and all(s[2] != o for s in x)) for o, x in zip(own, segs)]

@@ -61,7 +61,7 @@ GENERAL = {
     "es": "Este es un texto breve sobre el tiempo y la ciudad. A las personas que viven aquí se les preguntó qué les gustaría tener, y la mayoría dijo que nada debía cambiar. Por eso la respuesta es la misma que antes. No se sabe si hay otras razones para ello. Mire al otro lado de la calle, donde se ve lo que se ha hecho desde el año pasado. ¿Cuál de estas opciones sería la mejor, y por qué? Tomó el libro de la mesa y se fue sin decir una palabra.",
 }
 
-_SPLIT = re.compile(r"\n+|(?<=[。！？；])|(?<=[.!?…])(?=\s)|(?<=[.!?…][)\"'”’»])(?=\s)|(?<=[.!?])(?=[一-鿿¿¡])")
+_SPLIT = re.compile(r"\n+|[。！？；]|[.!?…][)\"'”’»]?(?=\s)|[.!?](?=[一-鿿¿¡])")
 _ASIDE = re.compile(r"\s*(#{1,6}(\s|$)|\*\*[^*]*\*\*\s*$|\[[^\]]*\]\s*$|<[^>]*>\s*$)")
 _MARK = re.compile(r"\s*((?:[-*•]\s+)?(?:\d+[.)]\s+)|[-*•]\s+|[A-Ha-h][.)](?:\s+|$)|=>\s*)")
 _ENDED = re.compile(r"[.!?。！？][\"'”’»*_]*\s*$")
@@ -88,9 +88,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
     """Bounds of the sentences of a text; together they hold all but breaks between lines."""
     out, at = [], 0
     for m in _SPLIT.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = max(at, m.end())
+        end = m.start() if text[m.start()] == "\n" else m.end()
+        if end > at:
+            out.append((at, end))
+        at = m.end()
     if at < len(text):
         out.append((at, len(text)))
     return out
@@ -212,12 +213,7 @@ def segments(model: Ppm, texts: list[str | None], bounds: list[list[tuple[int, i
     out: list[list] = [[] for _ in texts]
     if not what:
         return out
-    bits = score_all(model, what)
-    order = np.sort(bits, axis=1)
-    best = np.argmin(bits, axis=1)
-    if order.shape[1] < 2:
-        order = np.column_stack([order, np.full(len(order), np.inf)])
-    sure = (order[:, 1] - order[:, 0] >= MARGIN_BITS) & _known(order[:, 0], what)
+    bits, best, sure = _judge(model, what)
     cur: list = [-1, 0, 0, "", None, 0]
     for (i, a, b, n), k, ok, row in zip(where, best, sure, bits):
         if not ok:
@@ -231,6 +227,84 @@ def segments(model: Ppm, texts: list[str | None], bounds: list[list[tuple[int, i
     return out
 
 
+def _judge(model: Ppm, what: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code lengths, best language, whether that is sure) of scored sentences."""
+    bits = score_all(model, what)
+    order = np.sort(np.column_stack([bits, np.full(len(bits), np.inf)]), axis=1)
+    return bits, np.argmin(bits, axis=1), (order[:, 1] - order[:, 0] >= MARGIN_BITS) & _known(order[:, 0], what)
+
+
+def main_languages(model: Ppm, texts: list[str | None], bounds: list[list[tuple[int, int]]]) -> list[str | None]:
+    """The language of most bytes of each text; of several the first by name. Sentences that cannot change it are not scored."""
+    own = [sorted((s for a, b in e if (s := plain(t[a:b]))), key=len, reverse=True) if t else [] for t, e in zip(texts, bounds)]
+    left, size = [sum(map(len, x)) for x in own], [{} for _ in own]
+    at, out = [0] * len(own), [None] * len(own)
+    wait = [i for i, x in enumerate(own) if x]
+    while wait:
+        upto = []
+        for i in wait:
+            k, need = at[i], left[i] / 2
+            while k < len(own[i]) and need >= 0:
+                need -= len(own[i][k])
+                k += 1
+            upto.append(k)
+        what = [s for i, k in zip(wait, upto) for s in own[i][at[i] : k]]
+        _, best, sure = _judge(model, what)
+        told, more = iter(zip(best, sure)), []
+        for i, k in zip(wait, upto):
+            for s in own[i][at[i] : k]:
+                b, ok = next(told)
+                left[i] -= len(s)
+                if ok:
+                    x = model.langs[b]
+                    size[i][x] = size[i].get(x, 0) + len(s)
+            at[i] = k
+            top = sorted(size[i].values(), reverse=True) + [0, 0]
+            if k < len(own[i]) and top[0] - top[1] <= left[i]:
+                more.append(i)
+            elif size[i]:
+                out[i] = max(sorted(size[i]), key=size[i].get)
+        wait = more
+    return out
+
+
+def wholly_foreign(model: Ppm, texts: list[str | None], bounds: list[list[tuple[int, int]]], own: list[str | None]) -> list[bool]:
+    """Whether each text has a language and no sentence in its own one. A text is scored up to its first sentence in that."""
+    out = [False] * len(texts)
+    at, seen = [0] * len(texts), [False] * len(texts)
+    wait, step = [i for i, t in enumerate(texts) if t and own[i]], 1
+    while wait:
+        what, of = [], []
+        for i in wait:
+            k, n = at[i], 0
+            while k < len(bounds[i]) and n < step:
+                s = plain(texts[i][bounds[i][k][0] : bounds[i][k][1]])
+                if s:
+                    what.append(s)
+                    of.append(i)
+                    n += 1
+                k += 1
+            at[i] = k
+        native = set()
+        if what:
+            _, best, sure = _judge(model, what)
+            for i, b, ok in zip(of, best, sure):
+                if ok:
+                    seen[i] = True
+                    if model.langs[b] == own[i]:
+                        native.add(i)
+        more = []
+        for i in wait:
+            if i in native:
+                continue
+            if at[i] < len(bounds[i]):
+                more.append(i)
+            else:
+                out[i] = seen[i]
+        wait, step = more, step * 2
+    return out
+
+
 def _known(bits: np.ndarray, what: list[bytes]) -> np.ndarray:
     """Whether the best code is better than that without any tree. Chinese characters are too many for a bound a byte."""
     size = np.fromiter(map(len, what), np.int64, len(what))

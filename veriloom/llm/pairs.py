@@ -86,20 +86,19 @@ def features(df: DataFrame, key: str, question: str, answers: list[str], model:
                 b = whole.iloc[lo : lo + 1000]
                 asked = [t if isinstance(t, str) else None for t in b["_q"]]
                 ends = [language.sentences(t) if t else [] for t in asked]
-                main = [_main(s) for s in language.segments(m, asked, ends)]
+                main = language.main_languages(m, asked, ends)
                 told = [words(t) if t else [] for t in asked]
                 short = [words(t[: e[-1][0]]) if len(e) > 1 else [] for t, e in zip(asked, ends)]
-                prompt = [templates.sketch(w) if w else i for i, w in zip(b["_p"], told)]
+                prompt = templates.sketches(told, b["_p"])
                 rows = []
                 for f in answers:
                     texts = [t if isinstance(t, str) else None for t in b[f]]
                     bounds = [language.sentences(t) if t else [] for t in texts]
-                    for rid, p, q, s, ql, t, e, segs in zip(b["_id"], prompt, told, short, main, texts, bounds, language.segments(m, texts, bounds)):
+                    for rid, p, q, s, t, e, foreign in zip(b["_id"], prompt, told, short, texts, bounds, language.wholly_foreign(m, texts, bounds, main)):
                         body = [(x, w) for x, y in e if not _HEADING.fullmatch(t, x, y) and (w := words(t[x:y]))]
                         said = [w for _, w in body]
-                        foreign = bool(ql and segs and all(x[2] != ql for x in segs))
-                        opening = " ".join("0" if x.isdigit() else x for x in said[0]) if said else None
-                        rows.append((rid, f, p, bool(q and said) and _copied(t[body[0][0] :], [x for w in said for x in w], q, s), foreign, opening, [read(w) for w in said]))
+                        copied = bool(q and said) and _copied(t[body[0][0] :], [x for w in said for x in w], q, s)
+                        rows.append((rid, f, p, copied, foreign, templates.unit(said[0]) if said else None, [read(w) for w in said]))
                 out = pd.DataFrame(rows, columns=names)
                 out["id"] = out["id"].astype("Int64")
                 yield out
@@ -108,13 +107,6 @@ def features(df: DataFrame, key: str, question: str, answers: list[str], model:
     return df.select(*cols).mapInPandas(run, FEATURE)
 
 
-def _main(segs: list) -> str | None:
-    size: dict[str, int] = {}
-    for s in segs:
-        size[s[2]] = size.get(s[2], 0) + s[4]
-    return max(sorted(size), key=size.get) if size else None
-
-
 def defects(df: DataFrame, key: str, lang: str, question: str, answers: list[str], model: object | None = None) -> DataFrame:
     """(id, field, defect) of every defective answer field.
 

@@ -1,8 +1,9 @@
 """Answers that only decline, by templates that recur across unrelated prompts (part of problem 3).
 
 Openings of answers (their first sentences) are clustered by MinHash: BANDS bands of ROWS hashes over shingles of
-five words give candidates, of which each is verified at SIMILAR and the links are connected. Two openings at 0.8 meet in no band
-with a chance of 8e-8. A sentence belongs to up to three templates: its cluster (or itself), its head and its tail, the
+five words give candidates, of which each is verified at SIMILAR and the links are connected. Two openings at 0.8 meet
+in no band with a chance of 6e-5, at 0.85 of 3e-7; bands of fewer hashes miss less, but make candidates of all pairs of openings
+that have half a template in common. A sentence belongs to up to three templates: its cluster (or itself), its head and its tail, the
 first and last five words; the latter hold sentences together in which a name varies.
 
 What an answer says to its prompt varies with the prompt: its sentences are dealt anew each time. What declines
@@ -23,7 +24,7 @@ count once as far as their sketches (smallest shingle hash) agree, which they do
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from veriloom.session import materialise
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 16, 2
+BANDS, ROWS = 32, 6
 BLOCK = 2000  # openings of one band that are compared in one piece
 A = 3.0
 WORDED_PRIOR, PRIOR = 0.9, 0.1
@@ -62,6 +63,8 @@ DECLINE = [
 ]
 # Courtesies that may stand beside a refusal and answer nothing.
 POLITE = r"\b(some|any)thing else\b|^thank you for\b|其他问题|谢谢您|感谢您|^(vielen )?dank|^merci\b|^gracias\b"
+# Words (Chinese characters) of which every wording above has one.
+CUES = set("sorry afraid unable decline refuse can cannot cant won wont not prefer outside beyond against no ai only leider leid nicht keine darf möchte kann désolé désolée regrette ne préfère dépasse lo prefiero lamento fuera else something anything thank dank merci gracias".split()) | set("无不拒超只其谢感")
 
 UNIT = T.StructType([*[T.StructField(c, T.LongType()) for c in ("unit", "head", "tail")], T.StructField("worded", T.BooleanType()), T.StructField("polite", T.BooleanType())])
 _HAN_GAP = re.compile(r"(?<=[一-鿿]) (?=[一-鿿])")
@@ -78,9 +81,31 @@ def shingles(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))]
 
 
-def sketch(words: list[str]) -> int:
-    """The smallest shingle hash of a prompt."""
-    return min(map(code, shingles(words)))
+def sketches(texts: list[list[str]], keys: Iterable[int]) -> list[int]:
+    """The smallest hash of a run of SHINGLE words of each text; its key where it has no words."""
+    out = [int(k) for k in keys]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    if not size.sum():
+        return out
+    at, names = pd.factorize(np.array([w for t in texts for w in t], dtype=object))
+    h = np.concatenate([pd.util.hash_array(names, categorize=False)[at], np.zeros(SHINGLE, np.uint64)])
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(at), np.uint64)
+        for k in range(SHINGLE):
+            run = run * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(at)]
+        run = (run ^ run >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    first = np.cumsum(size) - size
+    for i in np.flatnonzero(size):
+        if size[i] < SHINGLE:
+            out[i] = code(" ".join(texts[i]))
+        else:  # runs that go on into the next text are left out
+            out[i] = int(run[first[i] : first[i] + size[i] - SHINGLE + 1].min().view(np.int64))
+    return out
+
+
+def unit(words: list[str]) -> str:
+    """A sentence, with all numbers alike."""
+    return " ".join("0" if w.isdigit() else w for w in words)
 
 
 class Reader:
@@ -92,18 +117,21 @@ class Reader:
         self.seen: dict[tuple, tuple] = {}
 
     def __call__(self, words: list[str]) -> tuple:
-        w = tuple("0" if x.isdigit() else x for x in words)
-        got = self.seen.get(w)
+        said = unit(words)
+        got = self.seen.get(said)
         if got is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            unit = " ".join(w)
-            joined = _HAN_GAP.sub("", unit)
-            own = code(unit)
-            short = len(w) <= SHINGLE
-            head = own if short else code("head " + " ".join(w[:SHINGLE]))
-            tail = own if short else code("tail " + " ".join(w[-SHINGLE:]))
-            got = self.seen[w] = (own, head, tail, bool(self.declines and self.declines.search(joined)), bool(self.polite.search(joined)))
+            w = said.split(" ")
+            own = code(said)
+            head = tail = own
+            if len(w) > SHINGLE:
+                head, tail = code("head " + " ".join(w[:SHINGLE])), code("tail " + " ".join(w[-SHINGLE:]))
+            worded = polite = False
+            if not CUES.isdisjoint(w):
+                joined = _HAN_GAP.sub("", said)
+                worded, polite = bool(self.declines and self.declines.search(joined)), bool(self.polite.search(joined))
+            got = self.seen[said] = (own, head, tail, worded, polite)
         return got
 
 
@@ -208,8 +236,7 @@ def template_counts(said: DataFrame) -> DataFrame:
 
 
 def declining(said: DataFrame) -> DataFrame:
-    """(key, n, closed, company, prior): the templates that decline."""
-    said = materialise(said, "said")
+    """(key, n, closed, company, prior): the templates that decline. said is read again and again, so it should be a written table."""
     counts = materialise(template_counts(said), "templates")
     held = _held(counts)
     share = lambda c: (F.col(c) + A * F.col("prior")) / (F.col("n") + A)
