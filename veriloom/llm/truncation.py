@@ -6,7 +6,7 @@ evidence, in bits, all of it counted over the whole corpus:
 - word_bits: the final word against a trie of the corpus vocabulary. An unknown word that is a proper prefix of known
   words was cut in its middle.
 - follow_bits: what the trie's counts say of a whole final word (in Chinese the longest known of its last 4, 2 and 1
-  characters; a comma or colon counts as a word): how much rarer sentences and lines end behind it than behind any
+  characters; commas, colons and numbers count as words): how much rarer sentences and lines end behind it than behind any
   word. Nearly none ends behind "if"; many do behind "fever", which speaks against a cut.
 - length_bits: how many more different texts of the table (or of the source) end at just this length than at
   the lengths around.
@@ -51,8 +51,9 @@ _BOLD = r"(^|[\s.。!?])\*\*[^*]+\*\*$"
 _BOXED = r"^\h*(\*\*.*\*\*|\[.*\]|=>.*[)）]|[(（].*[)）])$|[:：]\h*[(（]?[A-N][)）]$"
 _LATIN = r"[\p{L}&&[^\p{IsHan}]]"
 _MARK = r"[,;:，；：、]"
-_CLOSING = r"""(?:["'”’)\]]*+[.!?。！？\n]|(?=[\s\S]))"""
-_TOKEN = rf"(?:{_LATIN}++|\p{{IsHan}}++|{_MARK}){_CLOSING}"
+_CLOSING = r"""(?:["'”’)\]]*+[.!?。！？\n](?!\p{N})|(?=[\s\S]))"""
+_BODY = rf"(?:{_LATIN}++|\p{{IsHan}}++|\p{{N}}++|{_MARK})"
+_TOKEN = _BODY + _CLOSING
 
 
 def trimmed(text: Column) -> Column:
@@ -102,23 +103,23 @@ def endings(texts: DataFrame) -> DataFrame:
 
 
 def last_tokens(t: Column, tail: Column) -> Column:
-    """What a trimmed text ends with: a word as written and in lower case, a mark, or the last 4, 2 and 1 of Chinese characters; an array, empty where it ends otherwise."""
+    """What a trimmed text ends with: a word as written and in lower case, a mark, a number, or the last 4, 2 and 1 of Chinese characters; an array, empty where it ends otherwise."""
     latin = _at_end(t, tail, rf"(?<!{_LATIN}){_LATIN}++")
     han = F.regexp_extract(tail, r"\p{IsHan}{1,4}+$", 0)
     mark = F.regexp_extract(tail, f"{_MARK}$", 0)
     grams = F.filter(F.array(*[F.when(F.length(han) >= k, F.right(han, F.lit(k))) for k in (4, 2, 1)]), lambda x: x.isNotNull())
-    return F.when(F.length(latin) > 0, F.array_distinct(F.array(latin, F.lower(latin)))).when(F.length(han) > 0, grams).when(F.length(mark) > 0, F.array(mark)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(latin) > 0, F.array_distinct(F.array(latin, F.lower(latin)))).when(F.length(han) > 0, grams).when(F.length(mark) > 0, F.array(mark)).when(tail.rlike(r"\p{N}$"), F.array(F.lit("0"))).otherwise(F.array().cast("array<string>"))
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, n, closing) of all tokens inside the texts of column `text`: words as they are written, marks, and runs of 1, 2 and 4 Chinese characters.
+    """(word, n, closing) of all tokens inside the texts of column `text`: words as they are written, marks, numbers (all alike) and runs of 1, 2 and 4 Chinese characters.
 
     closing is how often a sentence or line ends behind it. An unclosed final word of a text is left out. Tokens
     are counted as they stand in the text first, so that only different ones are taken apart.
     """
     raw = texts.filter(F.col("text").isNotNull()).select(F.explode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
-    body = F.regexp_extract("raw", rf"^(?:{_LATIN}++|\p{{IsHan}}++|{_MARK})", 0)
-    parts = raw.select(body.alias("body"), "n", (F.length("raw") > F.length(body)).alias("shut"))
+    body = F.regexp_extract("raw", f"^{_BODY}", 0)
+    parts = raw.select(F.when(body.rlike(r"^\p{N}"), "0").otherwise(body).alias("body"), "n", (F.length("raw") > F.length(body)).alias("shut"))
     gram = lambda j: F.transform(F.filter(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda k: k <= j), lambda k: F.struct(F.substring("body", j - k + 1, k).alias("word"), (F.col("shut") & (j == F.length("body"))).alias("shut")))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("body")), gram))
     own = F.array(F.struct(F.col("body").alias("word"), F.col("shut").alias("shut")))
