@@ -127,3 +127,21 @@ def test_cuts_are_optimal():
         got = splitting.cuts(grade, limit, overlap)
         assert got[0][0] == 0 and got[-1][1] == n and all(b - a <= limit for a, b in got)
         assert all(y[0] == max(0, x[1] - overlap) and y[1] > x[1] for x, y in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(0x3400, 0x4DBF, 40), (0x20000, 0x2A000, 10), (0x1F900, 0x1F9FF, 20)])
+@pytest.mark.parametrize(("limit", "overlap"), [(2, 1), (3, 0), (4, 1), (4, 2), (8, 4)])
+def test_characters_of_many_tokens(spark, low, high, n, limit, overlap):
+    """No piece is cut inside a character or loses one; only a lone character may be beyond the limit."""
+    rng = random.Random(low + limit)
+    rare = "".join(chr(rng.randint(low, high)) for _ in range(n))
+    enc = exact()
+    for text in (rare, "word one, two. " * 9 + rare + " and more of it. " * 9):
+        width = np.zeros(50_300, np.int64)
+        for piece, i in tokens.ranks(tokens.DEFAULT, tokens.tokenizer_dir()).items():
+            width[i] = len(piece)
+        ps = splitting.pieces_of(text, np.asarray(enc(text)), width, lambda t: len(enc(t)), limit, overlap)
+        assert (ps[0][1], ps[-1][2]) == (0, len(text))
+        assert all(p[6] == text[p[1] : p[2]] and p[3] == len(enc(p[6])) for p in ps)
+        assert all(p[3] <= limit or len(p[6]) == 1 for p in ps)
+        assert all(b[1] <= a[2] < b[2] for a, b in zip(ps, ps[1:]))

@@ -7,13 +7,17 @@ piece from `overlap` tokens before a to b having to stay within the limit. Only
 line, sentence) take part, but for stretches that have none within reach; there the next grades are let in.
 
 A piece begins overlap tokens before the end of the one before, or, where that is inside a character, at the
-next token before that begins one. Pieces are encoded again as texts of their own; should one be beyond the
-limit then, as words cut in the middle can be, its text is split again under a limit less by the excess.
+next token before that begins one. Where no such piece fits, as between characters of more tokens than the limit
+less the overlap, the overlap of that piece alone is given up; a single character of more tokens than the limit is
+a piece by itself, beyond the limit. Nothing is ever cut inside a character, so no byte is lost.
+
+Pieces are counted again as texts of their own. One that is then beyond the limit, as words cut in the middle can
+be, is split again by itself under a limit less by the excess, its neighbours staying as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,10 +34,19 @@ PER_CUT = 0.3
 BALANCE = 1.0
 SLIPPED = 0.02  # a cut whose overlap cannot be exact
 
-# Sentence ends, what may close them, and marks between clauses.
-_codes = lambda s: np.array([ord(c) for c in s], np.uint32)
-_STOPS, _WIDE = _codes(".!?。！？…"), _codes("。！？")
-_CLOSERS, _CLAUSES, _TIGHT = _codes("\"')]”’」』）】*"), _codes(",;:，；：、|"), _codes(";|，；：、")
+FEW = 48  # ends within reach up to which plain Python is faster than arrays
+
+# Kinds of characters: sentence ends, what may close them, marks between clauses, blanks.
+_KINDS = {"stop": ".!?。！？…", "wide": "。！？", "closer": "\"')]”’」』）】*", "clause": ",;:，；：、|", "tight": ";|，；：、", "blank": " \t\r", "space": " \t\r\n\x85\xa0\u2028\u2029\u3000" + "".join(map(chr, range(0x2000, 0x200B)))}
+_BIT = {kind: np.uint8(1 << k) for k, kind in enumerate(_KINDS)}
+_TABLE = np.zeros(1 << 16, np.uint8)
+for _kind, _chars in _KINDS.items():
+    _TABLE[[ord(_c) for _c in _chars]] |= _BIT[_kind]
+
+
+def _starts(c: np.ndarray) -> np.ndarray:
+    """Byte offsets of the characters of a text, and its end."""
+    return np.concatenate([[0], np.cumsum(1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000))])
 
 
 def grades(text: str, ends: np.ndarray) -> np.ndarray:
@@ -41,28 +54,27 @@ def grades(text: str, ends: np.ndarray) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     n = len(c)
     at = np.arange(n)
-    width = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
-    starts = np.concatenate([[0], np.cumsum(width)])
+    starts = _starts(c)
+    kind = _TABLE[np.minimum(c, 0xFFFF)]
+    has = lambda k: (kind & _BIT[k]) != 0
     last = lambda keep: np.maximum.accumulate(np.where(keep, at, -1))  # noqa: E731  place of the last such character so far
-    blank, newline = np.isin(c, (32, 9, 13)), c == 10
-    space = blank | newline | np.isin(c, (0x85, 0xA0, 0x2028, 0x2029, 0x3000)) | (c >= 0x2000) & (c <= 0x200A)
-    full, open_ = last(~blank), last(~np.isin(c, _CLOSERS))
-    char = lambda i: np.where(i >= 0, c[np.maximum(i, 0)], 0)
-    p = np.arange(1, n + 1)  # a cut before character p
-    before = full[p - 1]
-    nxt = np.append(c, 10)[p]
-    spaced = np.append(space, True)[p] | (before != p - 1)
-    tail = char(before)
-    body = np.where(before >= 0, open_[np.maximum(before, 0)], -1)
-    stop = char(body)
-    twice = (tail == 10) & (char(np.where(before > 0, full[np.maximum(before - 1, 0)], -1)) == 10)
-    twice |= (nxt == 10) & (np.append(c, [10, 10])[p + 1] == 10)
-    far = lambda x: x >= 0x2E80  # noqa: E731  scripts without blanks
+    full, open_ = last(~has("blank")), last(~has("closer"))
+    nxt, before = np.append(c[1:], 10), full
+    spaced = np.append(has("space")[1:], True) | (before != at)
+    there = before >= 0
+    tail = np.where(there, c[before], 0)
+    tail_kind = np.where(there, kind[before], 0)
+    body = np.where(there, open_[before], -1)
+    stop_kind = np.where(body >= 0, kind[body], 0)
+    earlier = np.where(before > 0, full[np.maximum(before - 1, 0)], -1)
+    twice = (tail == 10) & (earlier >= 0) & (c[earlier] == 10)
+    twice |= (nxt == 10) & (np.append(c[2:], [10, 10])[:n] == 10)
+    is_ = lambda of, k: (of & _BIT[k]) != 0
     alone = ~((c >= 48) & (c <= 57) | (c >= 65) & (c <= 90) | (c >= 97) & (c <= 122) | (c >= 0xAA))
     out = np.full(n, 5)
-    out[spaced | far(c) | far(nxt) | alone] = 4
-    out[np.isin(tail, _CLAUSES) & (spaced | np.isin(tail, _TIGHT))] = 3
-    out[np.isin(stop, _STOPS) & (spaced | np.isin(stop, _WIDE))] = 2
+    out[spaced | (c >= 0x2E80) | (nxt >= 0x2E80) | alone] = 4  # scripts without blanks, and marks
+    out[is_(tail_kind, "clause") & (spaced | is_(tail_kind, "tight"))] = 3
+    out[is_(stop_kind, "stop") & (spaced | is_(stop_kind, "wide"))] = 2
     out[(tail == 10) | (nxt == 10) | (nxt == 13)] = 1
     out[twice] = 0
     if n:
@@ -78,39 +90,53 @@ def cuts(grade: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
     if n <= limit:
         return [(0, n)]
     aligned = np.append(True, grade >= 0)  # aligned[p]: a piece may begin at token p
+    aligned[n] = True
     begin = np.maximum.accumulate(np.where(aligned, np.arange(n + 1), 0))  # the last such place at or before
-    least = lambda p: begin[np.maximum(p - overlap, 0)]
-    ends = np.flatnonzero(grade >= 0) + 1
-    take = grade[ends - 1] <= NATURAL
+    ends = np.flatnonzero(aligned[1:]) + 1
+    start = begin[np.maximum(ends - overlap, 0)]
+    # where the next character would not fit behind the overlap, a piece begins where the one before ended
+    start = np.where(np.append(ends[1:], n) - start > limit, ends, start)
+    level = np.maximum(grade[ends - 1], 0)
+    level[-1] = 0
+    take = level <= NATURAL
     for most in (3, 4, 5):
         edge = np.concatenate([[0], ends[take]])
-        nxt = np.append(edge[1:], n)
-        wide = nxt - np.where(edge > 0, least(edge), 0) > limit
+        wide = np.append(edge[1:], n) - np.concatenate([[0], start[take]]) > limit
         if not wide.any():
             break
         gap = np.searchsorted(edge, ends, "left") - 1
-        take = take | wide[gap] & (grade[ends - 1] <= most)
-    ends = ends[take]
-    if not len(ends) or ends[-1] != n:
-        ends = np.append(ends, n)
+        take = take | wide[gap] & (level <= most)
+    take[-1] = True
+    ends, start, level = ends[take], start[take], level[take]
     m = max(1, -(-(n - overlap) // (limit - overlap)))
     goal = (n + (m - 1) * overlap) / m
-    start = least(ends)
-    cost = PENALTY[np.maximum(grade[ends - 1], 0)] + PER_CUT + SLIPPED * (ends - start != overlap)
-    total, back = np.full(len(ends), np.inf), np.full(len(ends), -1)
-    low = np.searchsorted(start, ends - limit)  # first end from which ends[j] can be reached
-    for j, e in enumerate(ends):
-        if e <= limit:
-            total[j], back[j] = cost[j] + BALANCE * ((e - goal) / limit) ** 2, -1
-        i = np.arange(low[j], j)
-        if len(i):
-            size = e - start[i]
-            c = np.where(size > 0, total[i] + cost[j] + BALANCE * ((size - goal) / limit) ** 2, np.inf)
-            k = int(np.argmin(c))
-            if c[k] < total[j]:
-                total[j], back[j] = c[k], i[k]
-    if not np.isfinite(total[-1]):  # a character of more tokens than the limit: only then may a piece be cut in one
-        return [(max(0, p - (overlap if p else 0)), min(n, max(0, p - (overlap if p else 0)) + limit)) for p in range(0, n, limit - overlap) if p == 0 or p + overlap < n + overlap]
+    cost = PENALTY[level] + PER_CUT + SLIPPED * (ends - start != overlap)
+    total, back, inf = np.full(len(ends), np.inf), np.full(len(ends), -1), float("inf")
+    low = np.minimum(np.searchsorted(start, ends - limit), np.arange(len(ends)))  # first end from which ends[j] can be reached
+    known: list[float] = []
+    first_of, costs, firsts = start.tolist(), cost.tolist(), low.tolist()
+    for j, e in enumerate(ends.tolist()):
+        best, k, lo = (costs[j] + BALANCE * ((e - goal) / limit) ** 2 if e <= limit else inf), -1, firsts[j]
+        if j - lo <= FEW:
+            for i in range(lo, j):
+                size = e - first_of[i]
+                if size > 0:
+                    x = known[i] + costs[j] + BALANCE * ((size - goal) / limit) ** 2
+                    if x < best:
+                        best, k = x, i
+        else:
+            size = e - start[lo:j]
+            c = total[lo:j] + costs[j] + BALANCE * ((size - goal) / limit) ** 2
+            c[size <= 0] = inf
+            i = int(np.argmin(c))
+            if c[i] < best:
+                best, k = float(c[i]), lo + i
+        if best == inf:  # one character of more tokens than the limit
+            best, k = (known[-1] if j else 0.0) + costs[j], j - 1
+            if j:
+                start[j - 1] = first_of[j - 1] = int(ends[j - 1])
+        known.append(best)
+        total[j], back[j] = best, k
     out, j = [], len(ends) - 1
     while j >= 0:
         out.append((int(start[back[j]]) if back[j] >= 0 else 0, int(ends[j])))
@@ -132,32 +158,42 @@ PIECE = T.StructType(
 )
 
 
-def pieces_of(text: str, ids: np.ndarray, width: np.ndarray, count, limit: int, overlap: int) -> list[tuple]:
+def pieces_of(text: str, ids: np.ndarray, width: np.ndarray, count: Callable[[str], int], limit: int, overlap: int) -> list[tuple]:
     """Rows of PIECE but for the key. width: bytes of each token id; count: number of tokens of a text."""
-    data = text.encode("utf-8")
     ends = np.cumsum(width[ids])
     grade = grades(text, ends)
-    lead = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])  # characters begun before each byte
-    own = limit
-    while True:
-        rows, over = [], 0
-        for k, (a, b) in enumerate(cuts(grade, own, overlap)):
-            lo, hi = int(ends[a - 1]) if a else 0, int(ends[b - 1])
-            piece = data[lo:hi].decode("utf-8", "ignore")
-            n = count(piece)
-            over = max(over, n - limit)
-            rows.append((k, int(lead[lo]), int(lead[hi]), n, (rows and last - a) or 0, "end" if b == len(ids) else GRADES[max(grade[b - 1], 0)], piece))
-            last = b
-        if over <= 0 or own <= 8:
-            return rows
-        own = max(8, own - over)
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    starts = _starts(c)
+    char = np.searchsorted(starts, np.concatenate([[0], ends]))  # characters before each token that ends one
+    done, wait = [], [(a, b, limit) for a, b in reversed(cuts(grade, limit, overlap))]
+    while wait:
+        a, b, own = wait.pop()
+        lo, hi = int(char[a]), int(char[b])
+        n = count(text[lo:hi])
+        if n <= limit or hi - lo == 1:
+            done.append((lo, hi, n, a, b))
+        elif (grade[a : b - 1] >= 0).any():
+            # beyond the limit when encoded by itself: split again, under less
+            own = max(1, min(own, b - a) - (n - limit))
+            wait += [(a + x, a + y, own) for x, y in reversed(cuts(grade[a:b], own, min(overlap, own // 2)))]
+        else:  # characters that share a token
+            while lo < hi:
+                end = next((e for e in range(hi, lo + 1, -1) if count(text[lo:e]) <= limit), lo + 1)
+                done.append((lo, end, count(text[lo:end]), b if done and done[-1][4] == b else a, b))
+                lo = end
+    rows, last = [], None
+    for k, (lo, hi, n, a, b) in enumerate(done):
+        shared = max(0, last - a) if last is not None else 0
+        rows.append((k, lo, hi, n, shared, "end" if hi == len(text) else GRADES[max(grade[b - 1], 0) if hi == char[b] else 5], text[lo:hi]))
+        last = b
+    return rows
 
 
 def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limit: str = "max_tokens", overlap: str = "overlap_tokens", name: str = tokens.DEFAULT, folder: str | None = None) -> DataFrame:
     """Pieces (schema PIECE) of the texts of more than `limit` tokens; texts within it, null texts or limits give none.
 
     A limit below 1 counts as none, an overlap above half the limit as half. Together the pieces hold the whole
-    text. Texts with no more bytes than the limit cannot have more tokens and are not encoded.
+    text. A piece is beyond the limit only if it is one character of more tokens than that. Texts with no more bytes than the limit cannot have more tokens and are not encoded.
     """
     folder = tokens.tokenizer_dir(folder)
     cols = [F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(limit).cast("int").alias("limit"), F.coalesce(F.col(overlap).cast("int"), F.lit(0)).alias("overlap")]
