@@ -50,3 +50,22 @@ def test_long_text_and_groups(spark):
     assert sorted(r[1:] for r in map(tuple, N.all_pairs(members, pairs).collect())) == [(1, 2), (3, 4), (3, 5), (4, 5)]
     got = {r.id: r.group_id for r in N.groups(members, pairs).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 6}
+
+
+def test_small_pieces(spark, monkeypatch):
+    """Blocks of lists, cells of candidates and pieces of classes cut small give the same links; large classes are told out whole."""
+    rows = [("t", i, t) for i, t in enumerate(texts(150, 7))] + [("t", 1000 + i, "one text that very many rows have") for i in range(40)] + [("t", 2000 + i, "one text that very many rows had") for i in range(9)]
+    df = spark.createDataFrame(rows, "tbl string, id long, text string").repartition(3)
+    want = sorted(map(tuple, N.all_pairs(*N.links(df)).collect()))
+    for name, value in (("LIST_TEXTS", 9), ("CELL_PAIRS", 5), ("PROBES", 40), ("COPIES", 6)):
+        monkeypatch.setattr(N, name, value)
+    got = sorted(map(tuple, N.all_pairs(*N.links(df)).collect()))
+    assert got == want and sum(a >= 1000 for _, a, _ in got) == 49 * 48 // 2
+
+
+def test_probe():
+    import numpy as np
+
+    lists = (np.array([3, 5, 9]), np.array([-7, 1, 4]), np.array([2, 3, 5]), np.array([0, 2, 1, 0, 1], np.uint32))
+    got = N.probe(lists, [np.array([-7, 4]), np.array([-7, 4]), np.array([0, 1, 9]), np.array([-8, 5])], np.array([3, 9, 5, 5]))
+    assert got.tolist() == [2, 1, 1, 0]

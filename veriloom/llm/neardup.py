@@ -2,10 +2,13 @@
 
 Two texts are linked if they share at least NUM/DEN of the distinct words that both have together, that is, if at
 least T = ceil(NUM (|x| + |y|) / (NUM + DEN)) of their words are common. DivideSkip finds them: the inverted lists
-of a text's words are split into long ones (its most frequent words) and short ones; the short ones are merged,
-and what occurs in them often enough is probed in the long ones by binary search. Here T - 1 lists of a text
-count as long, so one occurrence in the short lists makes a candidate, and no text's long lists are ever read
-but for candidates.
+of a text's words are divided into L long ones (its most frequent words) and short ones; the short ones are merged,
+texts that occur T - L times in them are candidates, and are probed in the long ones by binary search.
+
+L is T - 1, the most that leaves every link a common short word. Where lists are spread over a cluster by word, any
+smaller L needs occurrences counted across shards, so that every pair with one common short word would travel;
+with L = T - 1 one occurrence makes a candidate, no pair leaves a shard but those whose bounds reach T, and of the
+lists some three in ten are merged: those of the rarest words.
 
 How it is spread over a cluster:
 
@@ -20,7 +23,11 @@ How it is spread over a cluster:
    within the sizes that T allows; the places of the common word in both texts and the bitmaps bound the overlap
    from above, and pairs whose bound is below T go no further. Nothing of this is shuffled; only pairs that
    may reach T leave a task.
-5. The candidates' long lists are probed: by binary search of one text's words among the other's, exactly.
+5. Long lists are stored by blocks of LIST_TEXTS texts: of each word the ascending numbers of the block's texts that
+   have it (all words of a text, since the merge has seen its short lists in one shard only). A candidate takes its
+   query's words to the block of the other text, and each word's list is probed for that text by binary search.
+   The candidates of a block are dealt to cells of CELL_PAIRS, so that a text near to very many others is
+   many tasks.
 """
 
 from __future__ import annotations
@@ -31,9 +38,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veriloom.session import materialise
 
@@ -43,6 +49,10 @@ BITS = 256
 SHARD_POSTINGS = 400_000
 TEXTS_PER_SHARD = 10_000
 CHUNK = 1_000_000  # pairs looked at at once
+LIST_TEXTS = 10_000  # texts of a block of long lists
+CELL_PAIRS = 100_000  # candidates probed in one task
+PROBES = 4_000_000  # probes at once
+COPIES = 2000  # members of a class that are told out in one piece
 
 _WORD = re.compile(r"[^\W_一-鿿㐀-䶿]+|[一-鿿㐀-䶿]+")
 _HAN = re.compile(r"[一-鿿㐀-䶿]")
@@ -252,16 +262,79 @@ def candidates(lists: DataFrame) -> DataFrame:
     return cells.groupBy("tbl", "shard", "a", "b").applyInPandas(run, "tbl string, x long, y long").distinct()
 
 
-@F.pandas_udf(T.BooleanType())
-def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether the words of both, by binary search of one's in the other's, reach T."""
-    out = []
-    for p, q in zip(a, b):
-        x, y = _unpack(p), _unpack(q)
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        out.append(int((y[at] == x).sum()) >= int(_need(np.int64(len(x) + len(y)))))
-    return pd.Series(out, dtype=bool)
+# --- long lists, by blocks of texts ------------------------------------------------------------------------
+
+
+def _block(rep: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(rep), F.lit(blocks)).cast("int")
+
+
+def long_lists(classes: DataFrame, blocks: int) -> DataFrame:
+    """(tbl, block, texts, words, ends, numbers): the inverted lists of each block of classes, packed.
+
+    texts are the block's representatives in order; the list of the k-th word (in order) is what numbers holds
+    before ends[k]: ascending places in texts.
+    """
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("rep")
+        lists = [_unpack(w) for w in b["words"]]
+        number = np.repeat(np.arange(len(lists), dtype=np.int64), [len(x) for x in lists])
+        flat = np.concatenate(lists)
+        by = np.lexsort((number, flat))
+        words, count = np.unique(flat, return_counts=True)
+        return pd.DataFrame({"tbl": [key[0]], "block": [key[1]], "texts": [b["rep"].to_numpy(np.int64).tobytes()], "words": [words.tobytes()], "ends": [np.cumsum(count).astype(np.int64).tobytes()], "numbers": [number[by].astype(np.uint32).tobytes()]})
+
+    rows = classes.select("tbl", _block("rep", blocks).alias("block"), "rep", "words")
+    return rows.groupBy("tbl", "block").applyInPandas(run, "tbl string, block int, texts binary, words binary, ends binary, numbers binary")
+
+
+def probe(lists: tuple[np.ndarray, ...], queries: list[np.ndarray], texts: np.ndarray) -> np.ndarray:
+    """In how many lists (texts, words, ends, numbers) of each query's words its text is found, by binary search."""
+    ids, words, ends, numbers = lists
+    out = np.zeros(len(queries), np.int64)
+    place = np.searchsorted(ids, texts)
+    keys = np.repeat(np.arange(len(words), dtype=np.int64), np.diff(ends, prepend=0)) << 32 | numbers.astype(np.int64)
+    size = np.fromiter(map(len, queries), np.int64, len(queries))
+    total, start = np.cumsum(size), 0
+    while start < len(queries):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PROBES, "right")))
+        flat = np.concatenate(queries[start:end])
+        of = np.repeat(np.arange(start, end), size[start:end])
+        which = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+        here = words[which] == flat
+        wanted = which[here] << 32 | place[of[here]]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        out[start:end] = np.bincount(of[here][keys[at] == wanted] - start, minlength=end - start)
+        start = end
+    return out
+
+
+def probed(pairs: DataFrame, classes: DataFrame, blocks: int) -> DataFrame:
+    """Those of the candidates (tbl, x, y) that are linked."""
+    stored = long_lists(classes, blocks)
+    queries = classes.select("tbl", F.col("rep").alias("x"), F.col("words").alias("asked"))
+    put = materialise(pairs.withColumn("block", _block("y", blocks)), "candidates")
+    cells = put.groupBy("tbl", "block").agg(F.ceil(F.count("*") / CELL_PAIRS).cast("int").alias("cells"))
+    cell = F.pmod(F.xxhash64("x", "y"), F.col("cells")).cast("int")
+    asked = put.join(cells, ["tbl", "block"]).withColumn("cell", cell).drop("cells").join(queries, ["tbl", "x"])
+    held = stored.join(cells, ["tbl", "block"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+
+    def run(c: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        if not len(c):
+            return c[["tbl", "x", "y"]]
+        row = lists.iloc[0]
+        packed = tuple(np.frombuffer(row[k], kind) for k, kind in (("texts", np.int64), ("words", np.int64), ("ends", np.int64), ("numbers", np.uint32)))
+        codes, names = pd.factorize(c["x"])
+        first = np.unique(codes, return_index=True)[1]
+        own = [_unpack(w) for w in c["asked"].iloc[first]]
+        found = probe(packed, [own[k] for k in codes], c["y"].to_numpy(np.int64))
+        # a text's number of words: in how many lists it stands
+        size = np.bincount(packed[3], minlength=len(packed[0]))
+        sizes = np.fromiter(map(len, own), np.int64, len(own))[codes] + size[np.searchsorted(packed[0], c["y"].to_numpy(np.int64))]
+        return c[["tbl", "x", "y"]][found >= _need(sizes)]
+
+    return asked.groupBy("tbl", "block", "cell").cogroup(held.groupBy("tbl", "block", "cell")).applyInPandas(run, "tbl string, x long, y long")
 
 
 def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -276,46 +349,50 @@ def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = encoded.select("tbl", "cls", "id").distinct().join(classes.select("tbl", "cls", "rep"), ["tbl", "cls"]).select("tbl", "id", "rep")
     n = classes.count()
     lists = materialise(short_lists(classes, max(12, n // TEXTS_PER_SHARD)), "lists")
-    words = classes.select("tbl", "rep", "words")
-    pairs = (
-        candidates(lists)
-        .join(words.select("tbl", F.col("rep").alias("x"), F.col("words").alias("wx")), ["tbl", "x"])
-        .join(words.select("tbl", F.col("rep").alias("y"), F.col("words").alias("wy")), ["tbl", "y"])
-        .filter(linked(F.col("wx"), F.col("wy")))
-        .select("tbl", "x", "y")
-    )
+    pairs = probed(candidates(lists), classes, max(1, n // LIST_TEXTS))
     return members, pairs
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(tbl, id_a, id_b), id_a < id_b: the links of representatives and classes told out for all their members."""
-    m = lambda r, i: members.select("tbl", F.col("rep").alias(r), F.col("id").alias(i))
-    across = pairs.join(m("x", "i"), ["tbl", "x"]).join(m("y", "j"), ["tbl", "y"])
-    within = m("r", "i").join(m("r", "j"), ["tbl", "r"]).filter(F.col("i") < F.col("j"))
+    """(tbl, id_a, id_b), id_a < id_b: the links of representatives and classes told out for all their members.
+
+    Classes of many copies are told out in pieces of COPIES members, so that none is one task.
+    """
+    size = members.groupBy("tbl", "rep").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts"))
+    held = members.join(size.filter("parts > 1"), ["tbl", "rep"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = materialise(held.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "members")
+    large = held.filter("parts > 1").select("tbl", "rep", "parts").distinct()
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+
+    def side(df: DataFrame, rep: str, member: str) -> DataFrame:
+        parts = df.join(large.withColumnRenamed("rep", rep), ["tbl", rep], "left").withColumn("part", each).drop("parts")
+        return parts.join(held.select("tbl", F.col("rep").alias(rep), "part", F.col("id").alias(member)), ["tbl", rep, "part"]).drop("part")
+
+    across = side(side(pairs.select("tbl", "x", "y"), "x", "i"), "y", "j")
+    one = held.select("tbl", F.col("rep").alias("r"), F.col("part").alias("p"), each.alias("q"), F.col("id").alias("i"))
+    other = held.select("tbl", F.col("rep").alias("r"), each.alias("p"), F.col("part").alias("q"), F.col("id").alias("j"))
+    within = one.join(other, ["tbl", "r", "p", "q"]).filter(F.col("i") < F.col("j"))
     return across.select("tbl", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).unionByName(within.select("tbl", F.col("i").alias("id_a"), F.col("j").alias("id_b")))
 
 
-def groups(members: DataFrame, pairs: DataFrame, most_rounds: int = 30) -> DataFrame:
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(tbl, id, group_id): connected groups of linked texts, named by their smallest id.
 
     Large-star and small-star rounds in turn: every vertex hangs its larger neighbours, then all its smaller
     ones, on the smallest id it sees; links only ever get fewer or shorter, whatever the size of a group. Each
-    round is a shuffle of the remaining links, written to the shared folder; they end when nothing changes.
+    round is a shuffle of the remaining links, written to the shared folder; they end when nothing changes, as they must.
     """
     edges = materialise(pairs.select("tbl", F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "links")
-    for _ in range(most_rounds):
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("tbl", "u", "v").cast("decimal(38,0)"))).first()
+    was, now = None, state(edges)
+    while now != was:
         both = edges.unionByName(edges.select("tbl", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("tbl", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.filter("v > u").join(low, ["tbl", "u"]).select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("tbl", "u").agg(F.min("v").alias("m"))
         hung = large.join(least, ["tbl", "u"])
         small = hung.filter("v <> m").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("tbl", "u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        new = materialise(small, "links")
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("tbl", "u", "v").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("tbl", "u", "v").cast("decimal(38,0)"))).first()
-        edges = new
-        if same:
-            break
-    else:
-        raise RuntimeError("links have not settled; allow more rounds")
+        edges = materialise(small, "links")
+        was, now = now, state(edges)
     root = edges.select("tbl", F.col("u").alias("rep"), F.col("v").alias("_root"))
     return members.join(root, ["tbl", "rep"], "left").select("tbl", "id", F.coalesce("_root", "rep").alias("group_id"))
