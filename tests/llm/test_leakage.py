@@ -11,7 +11,7 @@ from veriloom.llm import leakage as K
 
 @pytest.mark.parametrize("small", [100_000, 0])
 def test_phrases(spark, monkeypatch, small):
-    monkeypatch.setattr(K, "SMALL", small)
+    monkeypatch.setattr(K, "BROADCAST_BYTES", small)
     rng = random.Random(12)
     vocab = [f"w{i}" for i in range(40)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(5, 30)))) for i in range(25)]

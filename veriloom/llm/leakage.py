@@ -9,12 +9,13 @@ phrase. Terms of texts are made alike, whatever case, punctuation, markup and sp
    position) of all anchors over all texts.
 3. Each window's two lists are intersected, adjusted by the places of the anchors in the window: what is left
    are texts that have both anchors at the right distance, with the start of the phrase.
-4. The texts so found are read once more, and the phrase compared word by word, which makes the matches exact.
+4. The texts so found are read once more, each once, and the whole phrases compared by fingerprints of 128 bits, which
+   candidates carry along; neither texts nor items are copied for it.
 
-Terms travel as 64-bit hashes; a collision can only add candidates, which the last step takes out. The item
-side (terms, windows) is small and fixed; where it has at most SMALL rows it is broadcast, else joined by
-shuffle. The postings of a term that a third of the texts hold are joined by (term, text, position), so no list
-is gathered in one task.
+Why not the postings of all training tokens: see the README for their size. Terms travel as 64-bit hashes; a
+collision can only add candidates, which the last step takes out. What is broadcast, the item side (terms, windows) or the
+texts with candidates, has at most BROADCAST_BYTES, counted before; what has more is joined by shuffle. The postings of a
+term that a third of the texts hold are joined by (term, text, position), so no list is gathered in one task.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from veriloom.session import materialise
 PHRASE_WORDS = 12
 PHRASE_HAN = 20
 GRAM = 4
-SMALL = 100_000  # rows of the item side, or of texts with candidates, that may be broadcast (some 100 bytes each)
+BROADCAST_BYTES = 16 << 20
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>|&(?:[a-z]{2,8}|#\d{1,6});")
 _WORD = re.compile(r"[^\W_]+")
@@ -67,13 +68,28 @@ def _hash(terms: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(terms, dtype=object), categorize=False).view(np.int64) if terms else np.empty(0, np.int64)
 
 
-def _sized(small: DataFrame) -> DataFrame:
-    """small with a broadcast hint if it is proven small."""
-    return F.broadcast(small) if small.limit(SMALL + 1).count() <= SMALL else small
+def _sized(small: DataFrame, width: int, each: int = 0, of: str = "") -> DataFrame:
+    """small with a broadcast hint if it is proven small: rows of `width` bytes and `each` more for each element of array `of`."""
+    size = F.count("*") * width + (F.coalesce(F.sum(F.size(of)), F.lit(0)) * each if of else F.lit(0))
+    return F.broadcast(small) if small.agg(size).first()[0] <= BROADCAST_BYTES else small
+
+
+def _prints(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each run of n term hashes."""
+    out = []
+    with np.errstate(over="ignore"):
+        for m in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+            x = h.view(np.uint64)
+            run = np.zeros(len(x) - n + 1, np.uint64)
+            for k in range(n):
+                run = (run ^ x[k : k + len(run)]) * m
+                run ^= run >> np.uint64(31)
+            out.append(run.view(np.int64))
+    return out[0], out[1]
 
 
 def windows(items: DataFrame) -> DataFrame:
-    """(item_id, start, off, term): terms of every window of the items (item_id, text)."""
+    """(item_id, start, off, term, print1, print2): terms of every window of the items (item_id, text), and the window's fingerprint."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -84,10 +100,12 @@ def windows(items: DataFrame) -> DataFrame:
                 h = _hash(terms)
                 if len(h) >= n:
                     w = np.lib.stride_tricks.sliding_window_view(h, n)
-                    parts.append(pd.DataFrame({"item_id": i, "start": np.repeat(np.arange(len(w)), n), "off": np.tile(np.arange(n), len(w)), "term": w.ravel()}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"item_id": [], "start": [], "off": [], "term": []})
+                    one, two = _prints(h, n)
+                    parts.append(pd.DataFrame({"item_id": i, "start": np.repeat(np.arange(len(w)), n), "off": np.tile(np.arange(n), len(w)), "term": w.ravel(), "print1": np.repeat(one, n), "print2": np.repeat(two, n), "chinese": chinese}))
+            if parts:
+                yield pd.concat(parts)
 
-    return items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").mapInPandas(run, "item_id long, start int, off int, term long")
+    return items.select(F.col("item_id").cast("long"), "text").filter("item_id is not null").mapInPandas(run, "item_id long, start int, off int, term long, print1 long, print2 long, chinese boolean")
 
 
 def _scan(texts: DataFrame, terms: np.ndarray, positions: bool) -> DataFrame:
@@ -126,7 +144,7 @@ def _collect_terms(df: DataFrame) -> np.ndarray:
 
 
 def anchors(texts: DataFrame, win: DataFrame, whole: bool = True) -> DataFrame:
-    """(item_id, start, term1, off1, term2, off2): each window's two rarest terms, of windows whose terms all occur.
+    """(item_id, start, print1, print2, chinese, term1, off1, term2, off2): each window's two rarest terms, of windows whose terms all occur.
 
     With whole=False, the two rarest terms that do occur of every window; the second is null where only one does.
     """
@@ -135,7 +153,8 @@ def anchors(texts: DataFrame, win: DataFrame, whole: bool = True) -> DataFrame:
     rare = Window.partitionBy("item_id", "start").orderBy("n", "off")
     ranked = win.join(n, "term", "left" if whole else "inner").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("r", F.row_number().over(rare))
     pick = lambda k, c: F.max(F.when(F.col("r") == k, F.col(c))).alias(f"{c}{k}")
-    return ranked.groupBy("item_id", "start").agg(F.min("n").alias("least"), *[pick(k, c) for k in (1, 2) for c in ("term", "off")]).filter("least > 0").drop("least")
+    kept = [F.first(c).alias(c) for c in ("print1", "print2", "chinese")]
+    return ranked.groupBy("item_id", "start").agg(F.min("n").alias("least"), *kept, *[pick(k, c) for k in (1, 2) for c in ("term", "off")]).filter("least > 0").drop("least")
 
 
 def positional_index(texts: DataFrame, anchor: DataFrame) -> DataFrame:
@@ -145,39 +164,38 @@ def positional_index(texts: DataFrame, anchor: DataFrame) -> DataFrame:
 
 
 def phrase_candidates(index: DataFrame, anchor: DataFrame) -> DataFrame:
-    """(tbl, id, item_id, start, at): texts that have both anchors of a window at the right distance; the phrase would begin at `at`."""
-    one = index.join(_sized(anchor), F.col("term") == F.col("term1")).filter(F.col("pos") >= F.col("off1"))
-    one = one.select("item_id", "start", "tbl", "id", (F.col("pos") - F.col("off1")).alias("at"), F.col("term2").alias("term"), (F.col("pos") - F.col("off1") + F.col("off2")).alias("pos"))
-    return one.join(index, ["term", "tbl", "id", "pos"], "left_semi").select("tbl", "id", "item_id", "start", "at")
-
-
-def phrase_matches(texts: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(tbl, id, item_id, start, at) of the candidates whose whole phrase is the same, word by word."""
-    per = candidates.groupBy("tbl", "id").agg(F.collect_set(F.struct("item_id", "start", "at")).alias("asked"))
-    per = materialise(per, "asked")
-    found = texts.join(_sized(per), ["tbl", "id"])
-    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
-    rows = found.select("tbl", "id", "text", F.explode("asked").alias("q")).select("tbl", "id", "text", "q.*").join(_sized(asked), "item_id")
-    return rows.filter(_same_phrase(F.col("text"), F.col("item"), F.col("start"), F.col("at"))).select("tbl", "id", "item_id", "start", "at").distinct()
-
-
-@F.pandas_udf(T.BooleanType())
-def _same_phrase(texts: pd.Series, items: pd.Series, starts: pd.Series, ats: pd.Series) -> pd.Series:
-    """Whether the window of the item that begins at `starts` is in the text at `ats`."""
-    out: list[bool] = []
-    terms_of: dict[str, tuple[bool, list[str]]] = {}
-    last, seen = None, {}
-    for t, i, s, a in zip(texts, items, starts, ats):
-        if i not in terms_of:
-            terms_of[i] = item_terms(i)
-        chinese, terms = terms_of[i]
-        if t != last:
-            last, seen = t, {}
-        if chinese not in seen:
-            seen[chinese] = han_terms(t) if chinese else word_terms(t)
-        n = PHRASE_HAN - GRAM + 1 if chinese else PHRASE_WORDS
-        out.append(seen[chinese][a : a + n] == terms[s : s + n])
-    return pd.Series(out, dtype=bool)
+    """(tbl, id, item_id, start, at, print1, print2, chinese): texts that have both anchors of a window at the right distance; the phrase would begin at `at`."""
+    window = ("item_id", "start", "print1", "print2", "chinese")
+    one = index.join(_sized(anchor, 80), F.col("term") == F.col("term1")).filter(F.col("pos") >= F.col("off1"))
+    one = one.select(*window, "tbl", "id", (F.col("pos") - F.col("off1")).alias("at"), F.col("term2").alias("term"), (F.col("pos") - F.col("off1") + F.col("off2")).alias("pos"))
+    return one.join(index, ["term", "tbl", "id", "pos"], "left_semi").select("tbl", "id", *window, "at")
+
+
+MATCH = T.StructType([T.StructField("tbl", T.StringType()), T.StructField("id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("at", T.IntegerType())])
+
+
+def phrase_matches(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(tbl, id, item_id, start, at) of the candidates whose whole phrase is the same. Each text is cut into terms once."""
+    asked = F.struct("item_id", "start", "at", "print1", "print2", "chinese")
+    per = materialise(candidates.groupBy("tbl", "id").agg(F.collect_set(asked).alias("asked")), "asked")
+    found = texts.select("tbl", "id", "text").join(_sized(per, 64, 64, "asked"), ["tbl", "id"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for tbl, i, text, asked in zip(b["tbl"], b["id"], b["text"], b["asked"]):
+                prints: dict[bool, tuple] = {}
+                for q in asked if isinstance(text, str) else ():
+                    kind = bool(q["chinese"])
+                    if kind not in prints:
+                        h, n = _hash(han_terms(text) if kind else word_terms(text)), PHRASE_HAN - GRAM + 1 if kind else PHRASE_WORDS
+                        prints[kind] = _prints(h, n) if len(h) >= n else (np.empty(0, np.int64),) * 2
+                    one, two = prints[kind]
+                    if q["at"] < len(one) and one[q["at"]] == q["print1"] and two[q["at"]] == q["print2"]:
+                        rows.append((tbl, i, q["item_id"], q["start"], q["at"]))
+            yield pd.DataFrame(rows, columns=MATCH.names)
+
+    return found.mapInPandas(run, MATCH).distinct()
 
 
 def leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
@@ -189,7 +207,7 @@ def leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
     win = materialise(windows(items), "windows")
     anchor = materialise(anchors(texts, win), "anchors")
     index = positional_index(texts, anchor)
-    return phrase_matches(texts, items, phrase_candidates(index, anchor))
+    return phrase_matches(texts, phrase_candidates(index, anchor))
 
 
 @F.pandas_udf(T.LongType())
@@ -214,10 +232,10 @@ def near_leaks(texts: DataFrame, items: DataFrame, slop: int = 6, least: int = 4
     win = materialise(windows(items), "windows")
     anchor = materialise(anchors(texts, win, whole=False), "anchors")
     index = positional_index(texts, anchor)
-    exact = phrase_matches(texts, items, phrase_candidates(index, anchor)).select("tbl", "id", "item_id", F.lit(True).alias("exact")).distinct()
+    exact = phrase_matches(texts, phrase_candidates(index, anchor)).select("tbl", "id", "item_id", F.lit(True).alias("exact")).distinct()
     spot = lambda k: F.struct(F.col(f"term{k}").alias("term"), (F.col("start") + F.col(f"off{k}")).alias("place"))
     places = anchor.select("item_id", F.explode(F.array(spot(1), spot(2))).alias("x")).select("item_id", "x.*").filter("term is not null").distinct()
-    hits = index.join(_sized(places), "term").withColumn("shift", F.col("pos") - F.col("place"))
+    hits = index.join(_sized(places, 40), "term").withColumn("shift", F.col("pos") - F.col("place"))
     slots = F.array(F.floor(F.col("shift") / (2 * slop)), F.floor((F.col("shift") + slop) / (2 * slop)) + F.lit(1 << 40))
     per = hits.select("tbl", "id", "item_id", "place", "pos", F.explode(slots).alias("slot")).groupBy("tbl", "id", "item_id", "slot").agg(F.collect_set(F.struct("place", "pos")).alias("hits"))
     most = per.withColumn("n", _chain(F.col("hits"))).groupBy("tbl", "id", "item_id").agg(F.max("n").alias("n_terms"))

@@ -122,14 +122,17 @@ _TRAIN = f"""{_TEXTS}, x AS (SELECT * FROM t UNION ALL SELECT DISTINCT 'sft', sf
 _WORDS = r"list_filter(string_split_regex(lower(regexp_replace({}, '</?[a-zA-Z][^<>]{{0,80}}>|&([a-z]{{2,8}}|#[0-9]{{1,6}});', ' ', 'g')), '[^\p{{L}}\p{{N}}]'), lambda w: w <> '')"
 _CHARS = rf"regexp_replace({{}}, '[^一-鿿㐀-䶿]', '', 'g')"
 
-ORACLE = {
-    "p2_found": f"WITH {_SETS} SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.tbl = b.tbl AND a.word = b.word AND a.id < b.id GROUP BY ALL HAVING 17 * count(*) >= 7 * (any_value(a.n) + any_value(b.n))",
-    "p2_groups": f"""WITH RECURSIVE {_SETS}, l AS (SELECT a.tbl, a.id AS x, b.id AS y FROM w a JOIN w b ON a.tbl = b.tbl AND a.word = b.word AND a.id <> b.id GROUP BY ALL HAVING 17 * count(*) >= 7 * (any_value(a.n) + any_value(b.n))),
-g AS (SELECT DISTINCT tbl, id, id AS reached FROM w UNION SELECT g.tbl, g.id, l.y FROM g JOIN l ON g.tbl = l.tbl AND g.reached = l.x) SELECT tbl, id, min(reached) AS group_id FROM g GROUP BY 1, 2""",
-    "p6_found": rf"""WITH {_TRAIN}, q AS (SELECT item_id, question, 2 * length({_CHARS.format('question')}) > length(regexp_replace(question, '[^\p{{L}}]', '', 'g')) AS zh FROM eval_item),
+_LEAKS = rf"""WITH {_TRAIN}, q AS (SELECT item_id, question, 2 * length({_CHARS.format('question')}) > length(regexp_replace(question, '[^\p{{L}}]', '', 'g')) AS zh FROM eval_item),
 iw AS (SELECT item_id, {_WORDS.format('question')} AS w FROM q WHERE NOT zh), ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw)),
 ic AS (SELECT item_id, {_CHARS.format('question')} AS c FROM q WHERE zh), ih AS (SELECT DISTINCT item_id, c[i:i + 19] AS g FROM (SELECT item_id, c, unnest(range(1, length(c) - 18)) AS i FROM ic)),
 xw AS (SELECT tbl, id, {_WORDS.format('text')} AS w FROM x), xg AS (SELECT tbl, id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT tbl, id, w, unnest(range(1, len(w) - 10)) AS i FROM xw)),
 xc AS (SELECT tbl, id, {_CHARS.format('text')} AS c FROM x), xh AS (SELECT tbl, id, c[i:i + 19] AS g FROM (SELECT tbl, id, c, unnest(range(1, length(c) - 18)) AS i FROM xc))
-SELECT DISTINCT tbl, id AS record_id, item_id FROM xg JOIN ig USING (g) UNION SELECT DISTINCT tbl, id, item_id FROM xh JOIN ih USING (g)""",
+SELECT DISTINCT tbl, id AS record_id, item_id FROM xg JOIN ig USING (g) UNION SELECT DISTINCT tbl, id, item_id FROM xh JOIN ih USING (g)"""
+
+ORACLE = {
+    "p2_found": f"WITH {_SETS} SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.tbl = b.tbl AND a.word = b.word AND a.id < b.id GROUP BY ALL HAVING 17 * count(*) >= 7 * (any_value(a.n) + any_value(b.n))",
+    "p2_groups": f"""WITH RECURSIVE {_SETS}, l AS (SELECT a.tbl, a.id AS x, b.id AS y FROM w a JOIN w b ON a.tbl = b.tbl AND a.word = b.word AND a.id <> b.id GROUP BY ALL HAVING 17 * count(*) >= 7 * (any_value(a.n) + any_value(b.n))),
+g AS (SELECT DISTINCT tbl, id, id AS reached FROM w UNION SELECT g.tbl, g.id, l.y FROM g JOIN l ON g.tbl = l.tbl AND g.reached = l.x) SELECT tbl, id, min(reached) AS group_id FROM g GROUP BY 1, 2""",
+    "p6_found": _LEAKS,
+    "p6_items": "SELECT item_id, " + ", ".join(f"count(*) FILTER (WHERE tbl = '{t}') AS n_{t}" for t in ("mcq", "verifiable", "sft", "documents")) + f" FROM ({_LEAKS}) GROUP BY item_id",
 }
