@@ -9,7 +9,7 @@ from veriloom.functions import text as X
 from veriloom.operators import answers
 from veriloom.plans.prompts import prompt_set
 from veriloom.session import materialise
-from veriloom.sources.completion import Completer, complete
+from veriloom.sources.completion import Completer, checked, complete
 
 
 def prompts(items: DataFrame, strict: bool = True, chat: bool = False) -> DataFrame:
@@ -19,10 +19,15 @@ def prompts(items: DataFrame, strict: bool = True, chat: bool = False) -> DataFr
     return out.withColumn("input_str", X.chat([("user", text)], ask=True) if chat else text)
 
 
-def predict(items: DataFrame, completer: Completer, strict: bool = True, chat: bool = False, batch: int = 1024, max_chars: int = 0) -> DataFrame:
-    """items with output: postprocessed completions; rows with an empty one are left out, as are failed ones."""
+def answered(items: DataFrame, completer: Completer, strict: bool = True, chat: bool = False, batch: int = 1024, max_chars: int = 0, most_failed: float = 0.5) -> DataFrame:
+    """All items with input_str, output (as said, null where the call failed) and error. Raises where too many fail."""
     asked = prompts(items, strict, chat).withColumn("input_str", X.keep_tail(F.col("input_str"), max_chars))
-    said = materialise(complete(asked, "input_str", completer, batch, "output"), "predictions").drop("error")
+    return checked(materialise(complete(asked, "input_str", completer, batch, "output"), "predictions"), most_failed)
+
+
+def predict(items: DataFrame, completer: Completer, strict: bool = True, chat: bool = False, batch: int = 1024, max_chars: int = 0, most_failed: float = 0.5) -> DataFrame:
+    """items with output: postprocessed completions; rows with an empty one are left out, as are failed ones (see answered)."""
+    said = answered(items, completer, strict, chat, batch, max_chars, most_failed).drop("error")
     return said.withColumn("output", X.postprocess(F.col("output"))).filter(F.length("output") > 0)
 
 
