@@ -30,11 +30,11 @@ def test_sft(spark, tmp_path):
         prompt = _ids(_HEAD.format(q))
         ids = _ids(_HEAD.format(q) + f"## Thinking\n\n{c}\n\n## Final Response\n\n{r}<|eot_id|>")
         full[i] = [x[-8192:] for x in (ids, [-100] * len(prompt) + ids[len(prompt) :])]
-    got = {r.sft_id: (r.n, r.ids, r.labels) for r in R.sft_tokens_whole(spark, str(tmp_path)).collect()}
+    got = {r.sft_id: (r.n, r.ids, r.labels) for r in R.sft_tokens(spark, str(tmp_path)).collect()}
     assert got == {i: (len(a), _md5(a), _md5(b)) for i, (a, b) in full.items()}
     assert got[0][0] > 256 and got[16][0] == 8192
     width = {b: max(len(full[i][0]) for i in full if i // 16 == b) for b in (0, 1, 2)}
-    got = {r.sft_id: (r.n, r.ids, r.labels) for r in R.sft_batches_whole(spark, str(tmp_path)).collect()}
+    got = {r.sft_id: (r.n, r.ids, r.labels) for r in R.sft_batches(spark, str(tmp_path)).collect()}
     fill = lambda x, i, pad: x + [pad] * (width[i // 16] - len(x))
     assert got == {i: (width[i // 16], _md5(fill(a, i, 0)), _md5(fill(b, i, -100))) for i, (a, b) in full.items()}
 
@@ -45,5 +45,5 @@ def test_prompts(spark, tmp_path):
     ids = {i: _ids(_HEAD.format(q)) for i, _, q, _ in rows}
     width = {b: min(1000, max(len(x) for i, x in ids.items() if i // 32 == b)) for b in (0, 1)}
     assert width[0] > 64 and width[1] == 1000
-    got = {r.process_id: (r.n, r.ids) for r in R.prompt_batches_whole(spark, str(tmp_path)).collect()}
+    got = {r.process_id: (r.n, r.ids) for r in R.prompt_batches(spark, str(tmp_path)).collect()}
     assert got == {i: (width[i // 32], _md5(([7] * (width[i // 32] - len(x)) + x)[: width[i // 32]])) for i, x in ids.items()}

@@ -189,3 +189,61 @@ def test_release(spark):
     path = df.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
     assert df.count() == 5 and os.path.isdir(path)
     assert session.release(spark) >= 1 and not os.path.isdir(path)
+
+
+class Flaky:
+    """Fails single prompts."""
+
+    def complete(self, prompts):
+        return [ValueError("no") if p.endswith("3") else p.upper() for p in prompts]
+
+
+def test_one_failure_voids_nothing_else(spark):
+    from veriloom.sources.completion import TooManyFailures, checked
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(10)] + [(None,)], "p string").coalesce(1)
+    out = complete(df, "p", Flaky(), batch=4)
+    got = {r.p: (r.response, r.error) for r in out.collect()}
+    assert got == {f"p{i}": ((f"P{i}", None) if i != 3 else (None, "ValueError: no")) for i in range(10)} | {None: (None, None)}
+    assert checked(out, 0.01, least=5) is out
+    with pytest.raises(TooManyFailures):
+        checked(out, 0.01, least=0)
+
+
+def test_giving_up(spark):
+    class Dead:
+        sent = 0
+
+        def complete(self, prompts):
+            Dead.sent += len(prompts)
+            return [f"sent {Dead.sent}"] if Dead.sent == 1 else [RuntimeError(f"down {Dead.sent}")] * len(prompts)
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(60)], "p string").coalesce(1)
+    errors = [r.error or "" for r in complete(df, "p", Dead(), batch=1, give_up=5).collect()]
+    assert sum(e.startswith("RuntimeError: down") for e in errors) == 5 and sum("not sent after 5" in e for e in errors) == 54
+
+
+def test_log_of_a_search(spark):
+    """All calls are logged: those of abandoned attempts and of a record that drops out by a failed call too."""
+    from veriloom.plans.search import search_with_events
+    from veriloom.sources.completion import TooManyFailures
+
+    class Partly(Script):
+        def complete(self, prompts):
+            return [RuntimeError("gone") if "lost" in p and p.startswith("Does the") else self.one(p) for p in prompts]
+
+    df = spark.createDataFrame([(1, "q", "g"), (2, "r", "lost")], "process_id long, open_question string, gold_answer string")
+    records, events = search_with_events(df, Partly("FFF"), SearchConfig(attempts=2, depth=1))
+    assert [(r.process_id, r.archived, r.calls) for r in records.collect()] == [(1, 1, 9)]
+    log = sorted((r.process_id, r.attempt, r.round, r.kind, r.valid, r.error) for r in events.collect())
+    ok = [(0, 0, "init"), (0, 0, "rethink"), (0, 0, "verify"), (0, 1, "verify"), (1, 0, "rethink"), (1, 1, "final"), (1, 1, "label"), (1, 1, "rewrite"), (1, 1, "verify")]
+    assert log == [(1, *x, True, None) for x in ok] + [(2, 0, 0, "init", True, None), (2, 0, 0, "verify", False, "RuntimeError: gone")]
+    assert events.filter("kind = 'verify' AND process_id = 1").filter("verdict").count() == 0 and events.filter("size(steps) = 3").count() == 5
+
+    class Broken:
+        def complete(self, prompts):
+            raise RuntimeError("down")
+
+    many = spark.range(100).selectExpr("id AS process_id", "'q' AS open_question", "'g' AS gold_answer")
+    with pytest.raises(TooManyFailures):
+        search(many, Broken())

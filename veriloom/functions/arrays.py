@@ -42,7 +42,7 @@ def first_index(a: Column, value: Column | int) -> Column:
     return F.when(p == 0, F.size(a)).otherwise(p - 1).cast("int")
 
 
-def cut_at_stop(ids: Column, stop: int, pad: int) -> Column:
+def cut_at_stop(ids: Column, stop: Column | int, pad: int) -> Column:
     """Everything behind the first stop token replaced by pad; the stop token stays."""
     at = first_index(ids, stop)
     return F.transform(ids, lambda x, i: F.when(i > at, F.lit(pad)).otherwise(x))

@@ -53,6 +53,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def keep_limit(text: Column, ids: Column, most: int, decode) -> Column:
+    """The text of the first `most` tokens (ids, decode(ids)) where there are more, else its last `most` characters; 0 is no limit."""
+    return text if not most else F.when(F.size(ids) > most, decode(F.slice(ids, 1, most))).otherwise(F.right(text, F.lit(most)))
+
+
 def has_answer_format(text: Column) -> Column:
     """Exactly one final and one thinking header."""
     return (count_of(text, FINAL_HEADER) == 1) & (count_of(text, "## Thinking") == 1)

@@ -97,6 +97,11 @@ def overlong_penalty(n: Column, soft: int, hard: int) -> Column:
     return -F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n - soft) / float(hard - soft)))
 
 
+def compared(df: DataFrame, value: str, by: str, stage: str, stages: list[str]) -> DataFrame:
+    """(by, a column for each of the stages): the mean value by stage, side by side."""
+    return df.groupBy(by).pivot(stage, stages).agg(F.avg(value))
+
+
 def over_seeds(df: DataFrame, value: str, by: list[str], least: int = 3) -> DataFrame:
     """(by, runs, mean, std) over seeds; the deviation is null below `least` runs."""
     out = df.groupBy(*by).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_std"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_IDS = 10_000_000  # finished ids that may be broadcast (8 bytes each)
+SMALL_IDS = 1_000_000  # finished ids that may be broadcast (8 bytes each, some 100 MB as a hash relation)
 
 
 def assign_ids(df: DataFrame, order: list[str], name: str = "process_id") -> DataFrame:
@@ -88,12 +88,12 @@ def has_keys(raw: str, *keys: str) -> Column:
     return out
 
 
-def batches(df: DataFrame, size: int, id_column: str, drop_last: bool = False) -> DataFrame:
-    """df with batch_id: slices of `size` by a dense id from 1; the last ragged one stays unless drop_last."""
-    out = df.withColumn("batch_id", F.floor((F.col(id_column) - 1) / size).cast("long"))
+def batches(df: DataFrame, size: int, id_column: str, drop_last: bool = False, first: int = 1) -> DataFrame:
+    """df with batch_id: slices of `size` by a dense id from `first`; the last ragged one stays unless drop_last."""
+    out = df.withColumn("batch_id", F.floor((F.col(id_column) - first) / size).cast("long"))
     if not drop_last:
         return out
-    full = df.agg(F.floor(F.max(id_column) / size).alias("_full"))
+    full = df.agg(F.floor((F.max(id_column) - first + 1) / size).alias("_full"))
     return out.join(F.broadcast(full), F.col("batch_id") < F.col("_full"), "left_semi")
 
 
@@ -102,6 +102,42 @@ def epochs(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("shuffle_key", shuffled(key, "epoch", seed=seed))
 
 
+def first_batch(batched: DataFrame, most: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """The rows of batch 0; with most, the first of them in the order given."""
+    out = batched.filter(F.col("batch_id") == 0)
+    return out if most is None else out.orderBy(*(order or out.columns)).limit(most)
+
+
+def appended(frames: list[DataFrame]) -> DataFrame:
+    """The rows of the frames one after another, with column part: the frame's number. Columns match by name."""
+    out = None
+    for i, df in enumerate(frames):
+        df = df.withColumn("part", F.lit(i))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def concatenated(*arrays: Column) -> Column:
+    """Arrays joined into one; a null array counts as empty."""
+    return F.concat(*[F.coalesce(a, F.slice(F.array_repeat(F.get(a, F.lit(0)), 1), 1, 0)) for a in arrays])
+
+
+def every(df: DataFrame, step: str, n: int) -> DataFrame:
+    """The rows whose step is a multiple of n."""
+    return df.filter(F.col(step) % n == 0)
+
+
+def rank_seed(seed: int, rank: Column) -> Column:
+    """The seed of a rank."""
+    return F.lit(seed) + rank.cast("long") * 100_003  # fixed value: the distance of the ranks' seeds
+
+
+def bernoulli(df: DataFrame, share: float, *keys: Column, seed: Column | int = 0) -> DataFrame:
+    """Each row with a chance of `share`, the same at every run: md5 of keys and seed, as a number below 2^32, is below the share."""
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+    return df.filter(md5_number(*keys, seed.cast("string")) < int(share * 2**32))
+
+
 def choose(options: list[str], *keys: Column, skip_first: Column | None = None) -> Column:
     """One of the options by md5 of the keys; where skip_first holds, not the first."""
     h = md5_number(*keys)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriloom.functions import arrays as A
+from veriloom.session import materialise
 
 _DOUBLES = T.ArrayType(T.DoubleType())
 
@@ -44,8 +45,9 @@ def whiten(df: DataFrame, values: str, mask: Column, batch: str, shift_mean: boo
     """df with `values` whitened over the places of a batch where mask(array of boolean) holds.
 
     (x - mean) / sqrt(var + 1e-8), with the unbiased variance; shift_mean=False keeps the mean. A batch of one
-    place has no variance: its places become null.
+    place has no variance: its places become null. The frame is written before it is used for both.
     """
+    df = materialise(df, "whiten")
     kept = df.select(batch, F.explode(F.arrays_zip(F.col(values).alias("x"), mask.alias("m"))).alias("p")).filter("p.m")
     stats = kept.groupBy(batch).agg(F.avg("p.x").alias("_mean"), F.var_samp("p.x").alias("_var"))
     scale = F.sqrt(F.col("_var") + 1e-8)
@@ -53,6 +55,16 @@ def whiten(df: DataFrame, values: str, mask: Column, batch: str, shift_mean: boo
     return df.join(stats, batch, "left").withColumn(values, F.transform(values, lambda x: (x - F.col("_mean")) / scale + back)).drop("_mean", "_var")
 
 
+def eos_count(responses: Column, eos: Column | int) -> Column:
+    """Aggregate: number of stop tokens in all responses."""
+    return F.sum(F.size(F.filter(responses, lambda x: x == eos)))
+
+
+def missing_eos_penalty(score: Column, responses: Column, eos: Column | int, penalty: float | None) -> Column:
+    """The score, less the penalty where the response has no stop token; None is no penalty."""
+    return score if penalty is None else F.when(F.array_contains(responses, eos), score).otherwise(score - penalty)
+
+
 def masked_mean(values: Column, mask: Column) -> Column:
     """Aggregate: mean of the values where mask holds; null without any."""
     return F.try_divide(F.sum(F.when(mask, values)), F.sum(mask.cast("int")))

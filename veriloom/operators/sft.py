@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,12 +50,11 @@ def padded(df: DataFrame, batch: str, most: int, pad: int, left: bool = False, c
     """df with its token arrays as long as the longest of their batch, `most` at the longest.
 
     columns names the arrays with their fill; by default input_ids with pad and labels with the ignored label. The
-    batch's length is one aggregate, joined back; a batch is never gathered.
+    rows are shuffled once, to their batches; those are of a fixed number of rows.
     """
     columns = columns or {"input_ids": pad, "labels": A.IGNORED}
     lead = next(iter(columns))
-    width = df.groupBy(batch).agg(F.least(F.max(F.size(lead)), F.lit(most)).alias("_width"))
-    out = df.join(width, batch)
+    out = df.withColumn("_width", F.least(F.max(F.size(lead)).over(Window.partitionBy(batch)), F.lit(most)))
     for c, fill in columns.items():
         out = out.withColumn(c, A.pad_left(F.col(c), F.col("_width"), fill) if left else A.pad_right(F.col(c), F.col("_width"), fill))
     return out.drop("_width")

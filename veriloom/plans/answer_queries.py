@@ -143,6 +143,8 @@ ORACLE = {
     "score_strict": f"""WITH {_CASC}, a AS (SELECT coalesce(source, 'unknown') AS source, count(*) FILTER (ans_type = 1 AND head_hit) AS head_hits, count(*) FILTER (ans_type = 1) AS total,
 count(*) FILTER (ans_type = 1 AND tail_hit) AS tail_hits FROM h GROUP BY 1) SELECT source, round(greatest(head_hits, tail_hits)::DOUBLE / nullif(total, 0), 6) AS score, head_hits, total, tail_hits FROM a""",
     "correct_wrong": f"WITH {_CASC} SELECT model, head_hit, count(*) AS n FROM h WHERE ans_type < 3 GROUP BY ALL",
+    "evaluate_stub": f"""WITH q AS (SELECT source, answer_idx, ('0x' || substr(md5('Choose one option and end with: The answer is X.' || chr(10) || question || chr(10) || {_OPTS}), 1, 8))::BIGINT % 4 AS k FROM eval_item),
+a AS (SELECT coalesce(source, 'unknown') AS source, count(*) FILTER (answer_idx = ['A', 'B', 'C'][k + 1]) AS hits, count(*) AS total FROM q WHERE k < 3 GROUP BY 1) SELECT source, hits / total AS score, hits AS head_hits, total, hits AS tail_hits FROM a""",
     "gold_in_output": rf"""WITH {PRED}, g AS (SELECT prediction_id, lower(output) AS o, list_transform(list_filter(options, lambda x: x.label = answer_idx), lambda x: lower(x.text)) AS gold FROM p WHERE output IS NOT NULL)
 SELECT prediction_id, coalesce(len(list_filter(gold, lambda t: regexp_matches(o, '(?s)([^\p{{L}}\p{{N}}_]|^)' || regexp_escape(t) || '([^\p{{L}}\p{{N}}_]|$)'))) > 0, false) AS hit FROM g""",
     "verifier_metrics": f"""WITH {_CASC}, x AS (SELECT model, head_hit::INT AS l, (('0x' || substr(md5(prediction_id::VARCHAR), 1, 8))::BIGINT % 100)::DOUBLE / 100 AS s FROM h WHERE ans_type < 3),

@@ -76,9 +76,10 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_states(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/search_event.parquet").schema
-    s = streaming.file_stream(spark, _glob(d, "search_event"), schema).select("process_id", "attempt", "round", "kind", F.col("verdict").cast("boolean").alias("verdict"))
+    s = streaming.file_stream(spark, _glob(d, "search_event"), schema).select("process_id", "attempt", "round", "kind", "event_id", F.col("verdict").cast("boolean").alias("verdict"))
     out = streaming.run_once(streaming.fold_states(s.filter("kind = 'verify'")), "update")
-    return out.groupBy("process_id").agg(F.max("rounds").cast("long").alias("rounds"))
+    # a record's later states replace its earlier ones
+    return out.groupBy("process_id").agg(F.max("rounds").cast("long").alias("rounds"), F.max_by("solved", "version").alias("solved"))
 
 
 QUERIES = {f.__name__: f for f in (rel_revenue, rel_rollup, rel_semi, rel_rank, rel_as_of, rel_range_join, rel_sessions, rel_sets, stream_new_records, stream_windows, stream_states)}
@@ -95,5 +96,5 @@ c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, coun
     "rel_sets": "WITH a AS (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier), u AS (SELECT k FROM a UNION ALL (SELECT n_nationkey FROM nation EXCEPT ALL SELECT k FROM a)) SELECT k, count(*) AS n FROM u GROUP BY 1",
     "stream_new_records": "SELECT DISTINCT prediction_id, model FROM prediction",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "stream_states": "SELECT process_id, count(DISTINCT CASE WHEN attempt = 0 THEN round END) AS rounds FROM search_event WHERE kind = 'verify' GROUP BY 1",
+    "stream_states": "SELECT process_id, count(DISTINCT (attempt, round)) AS rounds, coalesce(arg_max(verdict::BOOLEAN, (attempt, round, event_id)), false) AS solved FROM search_event WHERE kind = 'verify' GROUP BY 1",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from veriloom.functions import jsonx
 from veriloom.functions import text as X
 from veriloom.operators import extensions, relational, sft
 from veriloom.plans.curate import curate, finished
-from veriloom.plans.prompts import STRATEGIES
-from veriloom.plans.search import SearchConfig, merged, search
+from veriloom.plans.prompts import STRATEGIES, prompt_set
+from veriloom.plans.search import SearchConfig, merged, search, search_with_events
 from veriloom.sources.completion import StubCompleter
 from veriloom.sources.tables import latest_delivery, load
 
@@ -28,7 +30,7 @@ STUB = StubCompleter(
     default=(_GOOD,),
 )
 
-SFT_TOKENS, PROMPT_TOKENS = 8192, 1000  # the length limits of training, for the queries on whole texts
+SFT_TOKENS, PROMPT_TOKENS = 8192, 1000  # the length limits of training
 
 
 def _mcq(spark: SparkSession, d: str, *c: str) -> DataFrame:
@@ -130,6 +132,11 @@ def search_chinese_stub(spark: SparkSession, d: str) -> DataFrame:
     return merged(out).select("process_id", "calls", "archived")
 
 
+def search_log_stub(spark: SparkSession, d: str) -> DataFrame:
+    log = search_with_events(_verifiable(spark, d, "open_question", "gold_answer"), STUB, SearchConfig(attempts=1, depth=2))[1]
+    return log.select("process_id", "attempt", "round", "kind", "strategy", "verdict", "valid", F.size("steps").cast("long").alias("n_steps"), F.col("error").isNotNull().alias("failed"))
+
+
 def search_state(spark: SparkSession, d: str) -> DataFrame:
     df = _events(spark, d, "process_id", "attempt", "round", "kind", "verdict").filter("kind = 'verify'")
     last = F.max_by(F.col("verdict").cast("boolean"), F.struct("attempt", "round", "event_id"))
@@ -140,7 +147,7 @@ def sft_render(spark: SparkSession, d: str) -> DataFrame:
     return sft.render(_sft(spark, d, "question", "complex_cot", "response"), "question", "complex_cot", "response").select("sft_id", F.md5("prompt").alias("prompt"), F.md5("full").alias("full"))
 
 
-def _tokens(spark: SparkSession, d: str, most: int = 256) -> DataFrame:
+def _tokens(spark: SparkSession, d: str, most: int = SFT_TOKENS) -> DataFrame:
     return sft.masked_tokens(sft.render(_sft(spark, d, "question", "complex_cot", "response"), "question", "complex_cot", "response"), most)
 
 
@@ -153,46 +160,23 @@ def sft_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _token_digests(_tokens(spark, d))
 
 
-def sft_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
-    """sft_tokens at the length limit of training."""
-    return _token_digests(_tokens(spark, d, SFT_TOKENS))
-
-
-def _sft_batches(df: DataFrame, most: int) -> DataFrame:
-    out = sft.padded(df.withColumn("batch_id", F.floor(F.col("sft_id") / 16).cast("long")), "batch_id", most, pad=0)
-    return out.select("sft_id", "batch_id", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"), F.md5(F.array_join("labels", ",")).alias("labels"))
-
-
 def sft_batches(spark: SparkSession, d: str) -> DataFrame:
-    return _sft_batches(_tokens(spark, d), 200)
-
-
-def sft_batches_whole(spark: SparkSession, d: str) -> DataFrame:
-    """sft_batches at the length limit of training."""
-    return _sft_batches(_tokens(spark, d, SFT_TOKENS), SFT_TOKENS)
+    out = sft.padded(relational.batches(_tokens(spark, d), 16, "sft_id", first=0), "batch_id", SFT_TOKENS, pad=0)
+    return out.select("sft_id", "batch_id", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"), F.md5(F.array_join("labels", ",")).alias("labels"))
 
 
-def _prompt_batches(spark: SparkSession, d: str, most: int) -> DataFrame:
+def prompt_batches(spark: SparkSession, d: str) -> DataFrame:
     df = _verifiable(spark, d, "open_question", "gold_answer").filter(relational.non_empty("open_question", "gold_answer"))
-    df = df.select("process_id", sft.word_ids(X.chat([("user", F.col("open_question"))], ask=True)).alias("input_ids"), F.floor(F.col("process_id") / 32).cast("long").alias("batch_id"))
-    out = sft.padded(df, "batch_id", most, pad=7, left=True, columns={"input_ids": 7})
+    df = df.select("process_id", sft.word_ids(X.chat([("user", F.col("open_question"))], ask=True)).alias("input_ids"))
+    out = sft.padded(relational.batches(df, 32, "process_id", first=0), "batch_id", PROMPT_TOKENS, pad=7, left=True, columns={"input_ids": 7})
     return out.select("process_id", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"))
 
 
-def prompt_batches(spark: SparkSession, d: str) -> DataFrame:
-    return _prompt_batches(spark, d, 64)
-
-
-def prompt_batches_whole(spark: SparkSession, d: str) -> DataFrame:
-    """prompt_batches at the length limit of training."""
-    return _prompt_batches(spark, d, PROMPT_TOKENS)
-
-
 def stop_cut(spark: SparkSession, d: str) -> DataFrame:
     stop = F.get(sft.word_ids(F.lit("the")), F.lit(0))
     ids = _sft(spark, d, "response").withColumn("ids", sft.word_ids(F.col("response"))).withColumn("stop", stop)
     at = A.first_index(F.col("ids"), F.col("stop"))
-    cut = F.transform("ids", lambda x, i: F.when(i > at, F.lit(-1)).otherwise(x))
+    cut = A.cut_at_stop(F.col("ids"), F.col("stop"), -1)
     return ids.select("sft_id", at.cast("long").alias("at"), F.array_contains("ids", F.col("stop")).alias("has_stop"), F.md5(F.array_join(cut, ",")).alias("ids"))
 
 
@@ -229,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         assigned_ids, limited, resume_anti_join, union_sources, pass_filter, verdicts, non_empty_records, key_presence, bracket_content, validated_steps, validated_rewrites, reformatted, trajectory_text, strategy_choice,
-        curate_stub, curate_finished, search_stub, search_chinese_stub, search_state, sft_render, sft_tokens, sft_tokens_whole, sft_batches, sft_batches_whole, prompt_batches, prompt_batches_whole, stop_cut, token_accuracy, rl_split, step_labels, repeated_text, prefixed_keys,
+        curate_stub, curate_finished, search_stub, search_chinese_stub, search_log_stub, search_state, sft_render, sft_tokens, sft_batches, prompt_batches, stop_cut, token_accuracy, rl_split, step_labels, repeated_text, prefixed_keys,
     )
 }
 
@@ -247,9 +231,30 @@ _FULL = f"{_USER.format('question')} || {_ASK} || {_ANSWER} || '<|eot_id|>'"
 _IDS = r"list_transform(list_filter(string_split_regex(coalesce({}, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 6))::INT)"
 _TOK = f"""{_S}, r AS (SELECT sft_id, {_USER.format('question')} || {_ASK} AS prompt, {_FULL} AS ful FROM sft_1),
 t AS (SELECT sft_id, {_IDS.format('ful')} AS ids, len({_IDS.format('prompt')}) AS k FROM r),
-l AS (SELECT sft_id, ids[-256:] AS ids, list_transform(ids, lambda x, i: CASE WHEN i <= k THEN -100 ELSE x END)[-256:] AS labels FROM t)"""
+l AS (SELECT sft_id, ids[-8192:] AS ids, list_transform(ids, lambda x, i: CASE WHEN i <= k THEN -100 ELSE x END)[-8192:] AS labels FROM t)"""
 _CHOICE = "['Backtracking', 'Exploring New Paths', 'Verification', 'Correction']"
 
+
+
+def filled_sql(template: str, **slots: str) -> str:
+    """text.fill in SQL: the template with SQL expressions in its slots."""
+    parts = []
+    for literal, name in re.findall(r"((?:[^{}]|\{\{|\}\})+)|\{(\w+)\}", template):
+        parts.append(slots[name] if name else "'" + literal.replace("{{", "{").replace("}}", "}").replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+_NUMBER = "('0x' || substr(md5({}), 1, 8))::BIGINT"  # of a text, as the stub takes it
+_BLOCK = "question || chr(10) || array_to_string(list_transform(options, lambda o: o.label || '. ' || o.text), chr(10))"
+_P = prompt_set()
+_CURATED = f"""WITH {_M}, q AS (SELECT {filled_sql(_P['filter'], question=_BLOCK, answer='answer')} AS f, {filled_sql(_P['reformat'], question=_BLOCK, answer='answer')} AS r FROM mcq_1),
+s AS (SELECT f IS NOT NULL AS sent, coalesce({_NUMBER.format('f')} % 2 = 0 AND {_NUMBER.format('r')} % 2 = 0, false) AS good FROM q)"""
+# the stub's conclusion is always the same, and so is then a record's verdict
+_SEARCHED = f"""WITH {_V}, s AS (SELECT process_id, {_NUMBER.format(filled_sql(_P['verify'], conclusion="'c1'", answer="coalesce(gold_answer, '')"))} % 3 = 0 AS ok,
+{_CHOICE}[({_NUMBER.format("process_id || '|0|0|0'")} % 3 + 2)::INT] AS s0, {_CHOICE}[({_NUMBER.format("process_id || '|0|1|0'")} % 4 + 1)::INT] AS s1 FROM verifiable_1 WHERE open_question IS NOT NULL)"""
+_CALLS = [("true", 0, 0, "init", "NULL", "NULL", 3), ("true", 0, 0, "verify", "NULL", "ok", -1), ("NOT ok", 0, 0, "rethink", "s0", "NULL", 3), ("NOT ok", 0, 1, "verify", "NULL", "ok", -1), ("NOT ok", 0, 1, "rethink", "s1", "NULL", 3), ("NOT ok", 0, 2, "verify", "NULL", "ok", -1), ("NOT ok", 0, 2, "label", "NULL", "NULL", 3), ("true", 0, 2, "rewrite", "NULL", "NULL", -1), ("true", 0, 2, "final", "NULL", "NULL", -1)]
+_N_STEPS = lambda n: "NULL" if n < 0 else str(n)
+
 ORACLE = {
     "assigned_ids": f"WITH {_M} SELECT process_id, row_number() OVER (ORDER BY created_at, process_id) AS seq FROM mcq_1",
     "limited": f"WITH {_M} SELECT process_id, answer FROM mcq_1 WHERE process_id <= 100",
@@ -271,15 +276,19 @@ steps[-2].content AS conclusion, (len(steps) - 1)::BIGINT AS kept,
 coalesce(len(steps) >= 3 AND steps[-3].action = 'Inner Thinking' AND steps[-2].action = 'Final Conclusion' AND steps[-1].action = 'Verification', false) AS valid FROM search_event_1 WHERE len(steps) > 0""",
     "strategy_choice": f"""WITH {_E}, h AS (SELECT event_id, round, ('0x' || substr(md5(event_id || '|0'), 1, 8))::BIGINT AS h FROM search_event_1 WHERE kind = 'rethink')
 SELECT event_id, CASE WHEN round = 0 THEN {_CHOICE}[(h % 3 + 2)::INT] ELSE {_CHOICE}[(h % 4 + 1)::INT] END AS strategy FROM h""",
+    "curate_stub": f"{_CURATED} SELECT sent AS finished, good AS has_question, count(*) AS n FROM s GROUP BY ALL",
+    "search_stub": f"{_SEARCHED} SELECT process_id, CASE WHEN ok THEN 4 ELSE 9 END AS calls, CASE WHEN ok THEN 'Init_CoT' ELSE 'Init_CoT,Re_CoT_' || s0 || ',Re_CoT_' || s1 || ',Label_CoT' END AS types FROM s",
+    "search_chinese_stub": f"{_SEARCHED} SELECT process_id, CASE WHEN ok THEN 4 ELSE 9 END AS calls, CASE WHEN ok THEN 0 ELSE 1 END AS archived FROM s",
+    "search_log_stub": f"{_SEARCHED} " + " UNION ALL ".join(f"SELECT process_id, {a} AS attempt, {r} AS round, '{k}' AS kind, {s}::VARCHAR AS strategy, {v}::BOOLEAN AS verdict, true AS valid, {_N_STEPS(n)}::BIGINT AS n_steps, false AS failed FROM s WHERE {c}" for c, a, r, k, s, v, n in _CALLS),
     "curate_finished": f"WITH {_V} SELECT process_id FROM verifiable_1 WHERE open_question IS NOT NULL OR filter_response IS NOT NULL",
     "search_state": f"WITH {_E} SELECT process_id, count(*) AS rounds, coalesce(arg_max(verdict, (attempt, round, event_id)), false) AS solved FROM search_event_1 WHERE kind = 'verify' GROUP BY 1",
     "sft_render": f"WITH {_S} SELECT sft_id, md5({_USER.format('question')} || {_ASK}) AS prompt, md5({_FULL}) AS \"full\" FROM sft_1",
     "sft_tokens": f"WITH {_TOK} SELECT sft_id, len(ids)::BIGINT AS n, md5(coalesce(array_to_string(ids, ','), '')) AS ids, md5(coalesce(array_to_string(labels, ','), '')) AS labels FROM l",
-    "sft_batches": f"""WITH {_TOK}, b AS (SELECT *, floor(sft_id / 16)::BIGINT AS batch_id, least(max(len(ids)) OVER (PARTITION BY floor(sft_id / 16)), 200)::INT AS w FROM l),
+    "sft_batches": f"""WITH {_TOK}, b AS (SELECT *, floor(sft_id / 16)::BIGINT AS batch_id, least(max(len(ids)) OVER (PARTITION BY floor(sft_id / 16)), 8192)::INT AS w FROM l),
 q AS (SELECT sft_id, batch_id, list_resize(ids[1:w], w, 0) AS ids, list_resize(labels[1:w], w, -100) AS labels FROM b)
 SELECT sft_id, batch_id, len(ids)::BIGINT AS n, md5(coalesce(array_to_string(ids, ','), '')) AS ids, md5(coalesce(array_to_string(labels, ','), '')) AS labels FROM q""",
     "prompt_batches": f"""WITH {_V}, t AS (SELECT process_id, floor(process_id / 32)::BIGINT AS b, {_IDS.format(_USER.format('open_question') + ' || ' + _ASK)} AS ids FROM verifiable_1 WHERE length(open_question) > 0 AND length(gold_answer) > 0),
-w AS (SELECT *, least(max(len(ids)) OVER (PARTITION BY b), 64)::INT AS w FROM t), q AS (SELECT process_id, list_concat(list_transform(range(greatest(w - len(ids), 0)), lambda x: 7), ids[1:w]) AS ids FROM w)
+w AS (SELECT *, least(max(len(ids)) OVER (PARTITION BY b), 1000)::INT AS w FROM t), q AS (SELECT process_id, list_concat(list_transform(range(greatest(w - len(ids), 0)), lambda x: 7), ids[1:w]) AS ids FROM w)
 SELECT process_id, len(ids)::BIGINT AS n, md5(array_to_string(ids, ',')) AS ids FROM q""",
     "stop_cut": f"""WITH {_S}, t AS (SELECT sft_id, {_IDS.format('response')} AS ids, ('0x' || substr(md5('the'), 1, 6))::INT AS stop FROM sft_1), a AS (SELECT *, coalesce(list_position(ids, stop) - 1, len(ids))::BIGINT AS pos FROM t)
 SELECT sft_id, pos AS "at", list_contains(ids, stop) AS has_stop, md5(coalesce(array_to_string(list_transform(ids, lambda x, i: CASE WHEN i - 1 > pos THEN -1 ELSE x END), ','), '')) AS ids FROM a""",
@@ -294,7 +303,4 @@ g AS (SELECT sft_id, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) -
     "prefixed_keys": "SELECT o_orderkey, 2::BIGINT AS n, lower(o_orderstatus) AS status, o_orderpriority AS priority FROM orders",
 }
 ORACLE |= {
-    "sft_tokens_whole": ORACLE["sft_tokens"].replace("[-256:]", f"[-{SFT_TOKENS}:]"),
-    "sft_batches_whole": ORACLE["sft_batches"].replace("[-256:]", f"[-{SFT_TOKENS}:]").replace(", 200)", f", {SFT_TOKENS})"),
-    "prompt_batches_whole": ORACLE["prompt_batches"].replace(", 64)", f", {PROMPT_TOKENS})"),
 }

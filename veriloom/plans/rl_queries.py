@@ -9,6 +9,7 @@ from veriloom.functions import arrays as A
 from veriloom.functions import text as X
 from veriloom.operators import extensions, relational, rl
 from veriloom.plans.answer_queries import PRED, _predictions
+from veriloom.sources import completion
 from veriloom.sources.tables import load
 
 GAMMA, LAM, KL_COEF = 1.0, 0.95, 0.05
@@ -105,8 +106,8 @@ def checkpoint_retention(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failure_share(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "search_event", "event_id", "kind", "valid").distinct()
-    return e.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((~F.col("valid")).cast("double")), 6).alias("failed"))
+    e = load(spark, d, "search_event", "event_id", "kind", "valid").distinct().withColumn("error", F.when(~F.col("valid"), "invalid"))
+    return completion.failure_share(e, "kind").withColumn("failed", F.round("failed", 6))
 
 
 def learning_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ def learning_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sampled_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "events", "event_id", "value").filter(F.col("event_id") % 3 == 0).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return relational.every(load(spark, d, "events", "event_id", "value"), "event_id", 3).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 def kl_coefficient(spark: SparkSession, d: str) -> DataFrame:

@@ -61,14 +61,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def written(path: str) -> str:
+    """The path, noted for release."""
+    _WRITTEN.append(path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
     The table stays until release; results that are not yet computed may still read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = written(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
