@@ -145,3 +145,23 @@ def test_characters_of_many_tokens(spark, low, high, n, limit, overlap):
         assert all(p[6] == text[p[1] : p[2]] and p[3] == len(enc(p[6])) for p in ps)
         assert all(p[3] <= limit or len(p[6]) == 1 for p in ps)
         assert all(b[1] <= a[2] < b[2] for a, b in zip(ps, ps[1:]))
+
+
+def test_a_row_delivered_very_often(spark, monkeypatch):
+    """A block of one repeated row is dealt to parts; rows and ids stay the same."""
+    monkeypatch.setattr(tokens, "BLOCK_CHARS", 2000)
+    rows = [(1, "the same words, again and again")] * 900 + [(i, f"other words {i}, 中文") for i in range(2, 60)]
+    got = tokens.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    enc = exact()
+    assert len(got) == len(rows) and all(list(r.ids) == enc(r.text) for r in got)
+
+
+def test_places_over_racks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(mixing, "RACK", 3)
+    rng = random.Random(5)
+    rows = [(i, "ab"[i % 2], rng.randint(0, 9)) for i in range(400)]
+    got = mixing.places(spark.createDataFrame(rows, "key long, source string, n_tokens int"), 3, 400).collect()
+    for s in "ab":
+        own = sorted((r.start, r.n_tokens) for r in got if r.source == s)
+        assert [x for x, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and len(own) == 200

@@ -5,10 +5,11 @@
    the shares are met by all; a larger total may be asked for, then short sources give all they may and the rest
    is filled up by the others in proportion.
 2. The texts of a source have a random order (a hash of seed and key) and a place in tokens in it. The places
-   come from sums over hash buckets of bounded size and a running sum inside each bucket, so that a source that
+   come from sums over racks of hash buckets, over the buckets of a rack, and inside each bucket, so that a source that
    holds a third of all rows is never ordered in one task. A source is repeated by whole passes over its
    order, the last pass being cut where want is reached, to within half a text.
-3. The sequence of a source is cut into blocks of BLOCK_TOKENS (more, where there would be over MOST_BLOCKS). A splitting tree deals the blocks out to the
+3. The sequence of a source is cut into blocks of BLOCK_TOKENS; of more, where there would be over most_blocks (a
+   parameter): quotas and shares are as exact then, only neighbours stay together in larger pieces. A splitting tree deals the blocks out to the
    shards: at each node the left half draws its blocks from the node's, multivariate-hypergeometric, the right
    half has the rest, down to the leaves. Every leaf walks its own path, with the draws of a node seeded by the
    node; nothing but the path's counts (one a source) is held, and the leaves' quotas add up exactly.
@@ -33,6 +34,7 @@ BLOCK_TOKENS = 4_096
 MOST_BLOCKS = 500_000_000  # beyond, blocks are larger; the draws take no more than twice as many
 SHARD_TOKENS = 1_000_000
 BUCKET_ROWS = 5_000
+RACK = 10_000  # buckets that are summed up in one task, and then racks of them
 
 
 @dataclass(frozen=True)
@@ -73,8 +75,11 @@ def places(texts: DataFrame, seed: int, n_rows: int) -> DataFrame:
     """texts (key, source, n_tokens) plus start: where each begins in its source's random order, in tokens."""
     n = max(1, -(-n_rows // BUCKET_ROWS))
     h = texts.withColumn("_h", F.xxhash64(F.lit(seed), "key", "source")).withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.lit(n)))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = h.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_n")).select("source", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    so_far = lambda by, at: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bucket = materialise(h.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("_n")).withColumn("_rack", F.floor(F.col("_bucket") / RACK)), "buckets")
+    rack = bucket.groupBy("source", "_rack").agg(F.sum("_n").alias("_n")).select("source", "_rack", so_far(["source"], "_rack").alias("_before"))
+    inner = bucket.select("source", "_rack", "_bucket", so_far(["source", "_rack"], "_bucket").alias("_within"))
+    base = inner.join(rack, ["source", "_rack"]).select("source", "_bucket", (F.col("_before") + F.col("_within")).alias("_base"))
     inside = Window.partitionBy("source", "_bucket").orderBy("_h", "key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     own = h.withColumn("_own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return own.join(base, ["source", "_bucket"]).select("key", "source", "n_tokens", (F.col("_base") + F.col("_own")).alias("start"))
@@ -132,7 +137,7 @@ def deal(spark, wanted: list[Share], n_shards: int, seed: int, block_tokens: int
     return spark.range(n_shards).mapInPandas(run, "source string, block long, shard long")
 
 
-def mixture(texts: DataFrame, plan: DataFrame, total: float | None = None, seed: int = 17, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def mixture(texts: DataFrame, plan: DataFrame, total: float | None = None, seed: int = 17, shard_tokens: int = SHARD_TOKENS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """The mixture of texts (key, source, n_tokens) by plan (source, target_share, max_repeats).
 
     (shard, pos, source, key, repeat, n_tokens) has one row for each use of a text, repeat counting from 0 below
@@ -148,7 +153,7 @@ def mixture(texts: DataFrame, plan: DataFrame, total: float | None = None, seed:
     per = {r["source"]: r for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()}
     wanted = shares({s: r["n"] for s, r in per.items()}, rules, total)
     whole = sum(s.want for s in wanted)
-    n_shards, block_tokens = max(1, round(whole / shard_tokens)), max(BLOCK_TOKENS, int(whole // MOST_BLOCKS))
+    n_shards, block_tokens = max(1, round(whole / shard_tokens)), max(BLOCK_TOKENS, int(whole // most_blocks))
     told = spark.createDataFrame([(s.source, s.available, s.want) for s in wanted], "source string, available long, want double")
     placed = places(sized, seed, sum(r["rows"] for r in per.values())).join(F.broadcast(told), "source")
     # pass c takes a text if the middle of its place lies before want

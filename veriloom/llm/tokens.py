@@ -8,6 +8,7 @@ after another. Texts repeat words far more often than they bring new ones:
 2. The distinct words of all blocks are the word table; each is encoded once, whatever the number of texts.
 3. The ids go back to the blocks by a join on the word. A word that every text has occurs once a block, not once a
    text, which takes the skew out of the join; AQE splits what remains.
+   A block beyond twice its size, as of one row delivered very often, is dealt to parts, each with the block's words.
 4. In each block the ids are put at the positions of the words, by one vectorised lookup for the whole block.
 
 Decoding is a join of the ids with the vocabulary (id, piece), put together by position.
@@ -103,18 +104,25 @@ def encode(df: DataFrame, text: str = "text", name: str = DEFAULT, folder: str |
     """
     folder = tokenizer_dir(folder)
     rest = [c for c in df.columns if c != "ids"]
-    block, cut = (next(x for x in (name_ + "_" * k for k in range(len(rest) + 1)) if x not in rest) for name_ in ("_block", "_words"))
+    block, cut, part = (next(x for x in (name_ + "_" * k for k in range(len(rest) + 1)) if x not in rest) for name_ in ("_block", "_words", "_part"))
     base = df.select(*[F.col(f"`{c}`") for c in rest])
     body = F.col(f"`{text}`")
     chars = base.agg(F.sum(F.length(body))).first()[0] or 0
     n = max(1, -(-chars // BLOCK_CHARS))
     plain = [F.col(f"`{c}`") for c in rest if not isinstance(df.schema[c].dataType, T.MapType)]
     blocks = base.withColumn(block, F.pmod(F.xxhash64(*plain), F.lit(n)))
+    parts = F.ceil(F.col("chars") / BLOCK_CHARS).cast("int")
+    large = materialise(blocks.groupBy(F.col(block).alias("of")).agg(F.sum(F.length(body)).alias("chars")).filter(F.col("chars") > 2 * BLOCK_CHARS).select("of", parts.alias("parts")), "large")
     used = blocks.select(F.col(block).alias("of"), F.explode(F.array_distinct(words(body))).alias("word")).distinct()
     used = materialise(used, "words")
     told = used.join(word_table(used.select("word").distinct(), name, folder), "word").select("of", "word", "ids")
+    if large.isEmpty():
+        blocks, told = blocks.withColumn(part, F.lit(0)), told.withColumn("part", F.lit(0))
+    else:
+        blocks = blocks.join(large.withColumnRenamed("of", block).withColumnRenamed("parts", part), block, "left").withColumn(part, F.floor(F.rand(7) * F.coalesce(part, F.lit(1))).cast("int"))
+        told = told.join(large, "of", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     # the texts are shuffled as they are and cut into words behind the shuffle, where they lie by block
-    blocks = blocks.repartition(block).sortWithinPartitions(block).withColumn(cut, words(body))
+    blocks = blocks.repartition(block, part).sortWithinPartitions(block, part).withColumn(cut, words(body))
     out = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), True))])
 
     def place(texts: pa.Table, own: pa.Table) -> pa.Table:
@@ -132,7 +140,7 @@ def encode(df: DataFrame, text: str = "text", name: str = DEFAULT, folder: str |
         result = pa.ListArray.from_arrays(pa.array(total[ends], pa.int32()), pa.array(values[where], pa.int32()))
         return pa.table([*[texts.column(c) for c in rest], result], names=[*rest, "ids"])
 
-    return blocks.groupBy(block).cogroup(told.groupBy("of")).applyInArrow(place, out)
+    return blocks.groupBy(block, part).cogroup(told.groupBy("of", "part")).applyInArrow(place, out)
 
 
 def vocabulary(spark: SparkSession, name: str = DEFAULT, folder: str | None = None) -> DataFrame:
