@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriloom.operators.relational import assign_ids
 from veriloom.session import materialise
 
 PHRASE_WORDS = 12
@@ -157,6 +158,11 @@ def anchors(texts: DataFrame, win: DataFrame, whole: bool = True) -> DataFrame:
     return ranked.groupBy("item_id", "start").agg(F.min("n").alias("least"), *kept, *[pick(k, c) for k in (1, 2) for c in ("term", "off")]).filter("least > 0").drop("least")
 
 
+def _numbered(anchor: DataFrame) -> DataFrame:
+    """anchor, written, with w: the windows' dense numbers."""
+    return materialise(assign_ids(anchor, ["item_id", "start"], "w").withColumn("w", F.col("w").cast("long")), "anchors")
+
+
 def positional_index(texts: DataFrame, anchor: DataFrame) -> DataFrame:
     """(term, tbl, id, pos): the stored postings of all anchors over all texts."""
     terms = anchor.select(F.explode(F.array("term1", "term2")).alias("term")).filter("term is not null").distinct()
@@ -164,35 +170,45 @@ def positional_index(texts: DataFrame, anchor: DataFrame) -> DataFrame:
 
 
 def phrase_candidates(index: DataFrame, anchor: DataFrame) -> DataFrame:
-    """(tbl, id, item_id, start, at, print1, print2, chinese): texts that have both anchors of a window at the right distance; the phrase would begin at `at`."""
-    window = ("item_id", "start", "print1", "print2", "chinese")
+    """(tbl, id, w, at): texts that have both anchors of window w at the right distance; the phrase would begin at `at`."""
     one = index.join(_sized(anchor, 80), F.col("term") == F.col("term1")).filter(F.col("pos") >= F.col("off1"))
-    one = one.select(*window, "tbl", "id", (F.col("pos") - F.col("off1")).alias("at"), F.col("term2").alias("term"), (F.col("pos") - F.col("off1") + F.col("off2")).alias("pos"))
-    return one.join(index, ["term", "tbl", "id", "pos"], "left_semi").select("tbl", "id", *window, "at")
+    one = one.select("w", "tbl", "id", (F.col("pos") - F.col("off1")).alias("at"), F.col("term2").alias("term"), (F.col("pos") - F.col("off1") + F.col("off2")).alias("pos"))
+    return one.join(index, ["term", "tbl", "id", "pos"], "left_semi").select("tbl", "id", "w", "at")
 
 
 MATCH = T.StructType([T.StructField("tbl", T.StringType()), T.StructField("id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("at", T.IntegerType())])
 
 
-def phrase_matches(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+def phrase_matches(texts: DataFrame, anchor: DataFrame, candidates: DataFrame) -> DataFrame:
     """(tbl, id, item_id, start, at) of the candidates whose whole phrase is the same. Each text is cut into terms once."""
-    asked = F.struct("item_id", "start", "at", "print1", "print2", "chinese")
+    # a candidate travels as one number: its window and its place
+    asked = F.shiftleft(F.col("w"), 32).bitwiseOR(F.col("at").cast("long"))
     per = materialise(candidates.groupBy("tbl", "id").agg(F.collect_set(asked).alias("asked")), "asked")
-    found = texts.select("tbl", "id", "text").join(_sized(per, 64, 64, "asked"), ["tbl", "id"])
+    found = texts.select("tbl", "id", "text").join(_sized(per, 64, 8, "asked"), ["tbl", "id"])
+    # the windows grow with the items, never with the texts
+    held = texts.sparkSession.sparkContext.broadcast(anchor.select("w", "item_id", "start", "print1", "print2", "chinese").toPandas().sort_values("w").reset_index(drop=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows = {c: held.value[c].to_numpy() for c in held.value}
         for b in batches:
             rows = []
             for tbl, i, text, asked in zip(b["tbl"], b["id"], b["text"], b["asked"]):
-                prints: dict[bool, tuple] = {}
-                for q in asked if isinstance(text, str) else ():
-                    kind = bool(q["chinese"])
-                    if kind not in prints:
-                        h, n = _hash(han_terms(text) if kind else word_terms(text)), PHRASE_HAN - GRAM + 1 if kind else PHRASE_WORDS
-                        prints[kind] = _prints(h, n) if len(h) >= n else (np.empty(0, np.int64),) * 2
-                    one, two = prints[kind]
-                    if q["at"] < len(one) and one[q["at"]] == q["print1"] and two[q["at"]] == q["print2"]:
-                        rows.append((tbl, i, q["item_id"], q["start"], q["at"]))
+                if not isinstance(text, str):
+                    continue
+                packed = np.asarray(asked, np.int64)
+                which, at = np.searchsorted(windows["w"], packed >> 32), packed & 0xFFFFFFFF
+                for kind in (False, True):
+                    own = windows["chinese"][which] == kind
+                    if not own.any():
+                        continue
+                    h, n = _hash(han_terms(text) if kind else word_terms(text)), PHRASE_HAN - GRAM + 1 if kind else PHRASE_WORDS
+                    if len(h) < n:
+                        continue
+                    one, two = _prints(h, n)
+                    k, place = which[own], at[own]
+                    k, place = k[place < len(one)], place[place < len(one)]
+                    same = (one[place] == windows["print1"][k]) & (two[place] == windows["print2"][k])
+                    rows += [(tbl, i, int(windows["item_id"][x]), int(windows["start"][x]), int(y)) for x, y in zip(k[same], place[same])]
             yield pd.DataFrame(rows, columns=MATCH.names)
 
     return found.mapInPandas(run, MATCH).distinct()
@@ -205,9 +221,9 @@ def leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
     count once.
     """
     win = materialise(windows(items), "windows")
-    anchor = materialise(anchors(texts, win), "anchors")
+    anchor = _numbered(anchors(texts, win))
     index = positional_index(texts, anchor)
-    return phrase_matches(texts, phrase_candidates(index, anchor))
+    return phrase_matches(texts, anchor, phrase_candidates(index, anchor))
 
 
 @F.pandas_udf(T.LongType())
@@ -230,9 +246,9 @@ def near_leaks(texts: DataFrame, items: DataFrame, slop: int = 6, least: int = 4
     `least` anchors left is not found.
     """
     win = materialise(windows(items), "windows")
-    anchor = materialise(anchors(texts, win, whole=False), "anchors")
+    anchor = _numbered(anchors(texts, win, whole=False))
     index = positional_index(texts, anchor)
-    exact = phrase_matches(texts, phrase_candidates(index, anchor)).select("tbl", "id", "item_id", F.lit(True).alias("exact")).distinct()
+    exact = phrase_matches(texts, anchor, phrase_candidates(index, anchor)).select("tbl", "id", "item_id", F.lit(True).alias("exact")).distinct()
     spot = lambda k: F.struct(F.col(f"term{k}").alias("term"), (F.col("start") + F.col(f"off{k}")).alias("place"))
     places = anchor.select("item_id", F.explode(F.array(spot(1), spot(2))).alias("x")).select("item_id", "x.*").filter("term is not null").distinct()
     hits = index.join(_sized(places, 40), "term").withColumn("shift", F.col("pos") - F.col("place"))
