@@ -8,7 +8,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "veriloom", cores: int | str | None = None) -> SparkSession:
@@ -62,11 +64,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(path: str) -> str:
-    """The path, noted for release."""
+    """The path, noted for release; what is left when the process ends is deleted then."""
+    if not _WRITTEN:
+        atexit.unregister(_at_exit)
+        atexit.register(_at_exit)
     _WRITTEN.append(path)
     return path
 
 
+def _at_exit() -> None:
+    gateway = SparkContext._gateway
+    try:
+        conf = gateway.jvm.org.apache.hadoop.conf.Configuration()
+        while _WRITTEN:
+            path = gateway.jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001
+        pass  # the JVM is gone; whoever owns the shared folder has to clear it
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
@@ -78,6 +94,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """(materialise(df), its number of rows), counted while it is written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")), tag)
+    n = seen.get.get("n")  # of an empty plan nothing is observed
+    return out, out.count() if n is None else n
+
+
 def release(spark: SparkSession) -> int:
     """Delete all tables that this process has materialised; their number. Only for when their results are written."""
     hadoop, n = spark._jsc.hadoopConfiguration(), 0
