@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veriloom.session import materialise
@@ -375,6 +375,14 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return across.select("tbl", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).unionByName(within.select("tbl", F.col("i").alias("id_a"), F.col("j").alias("id_b")))
 
 
+def _stated(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """(edges, written; their number and the sum of their hashes)."""
+    seen = Observation()
+    both = {"n": F.count(F.lit(1)), "sum": F.coalesce(F.sum(F.xxhash64("tbl", "u", "v").cast("decimal(38,0)")), F.lit(0))}
+    out = materialise(edges.observe(seen, *[x.alias(k) for k, x in both.items()]), "links")
+    return out, seen.get
+
+
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(tbl, id, group_id): connected groups of linked texts, named by their smallest id.
 
@@ -382,9 +390,8 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     ones, on the smallest id it sees; links only ever get fewer or shorter, whatever the size of a group. Each
     round is a shuffle of the remaining links, written to the shared folder; they end when nothing changes, as they must.
     """
-    edges = materialise(pairs.select("tbl", F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct(), "links")
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("tbl", "u", "v").cast("decimal(38,0)"))).first()
-    was, now = None, state(edges)
+    edges, now = _stated(pairs.select("tbl", F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct())
+    was = None
     while now != was:
         both = edges.unionByName(edges.select("tbl", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("tbl", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -392,7 +399,7 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
         least = large.groupBy("tbl", "u").agg(F.min("v").alias("m"))
         hung = large.join(least, ["tbl", "u"])
         small = hung.filter("v <> m").select("tbl", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("tbl", "u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialise(small, "links")
-        was, now = now, state(edges)
+        was = now
+        edges, now = _stated(small)
     root = edges.select("tbl", F.col("u").alias("rep"), F.col("v").alias("_root"))
     return members.join(root, ["tbl", "rep"], "left").select("tbl", "id", F.coalesce("_root", "rep").alias("group_id"))

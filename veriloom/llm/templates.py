@@ -29,12 +29,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriloom.llm import neardup
-from veriloom.session import materialise
+from veriloom.session import counted, materialise
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -43,7 +43,7 @@ BLOCK = 2000  # openings of one band that are compared in one piece
 A = 3.0
 WORDED_PRIOR, PRIOR = 0.9, 0.1
 SEED_SHARE, CLOSED_SHARE = 0.3, 0.6
-LEAST_COMPANY = 2
+LEAST_COMPANY = 2  # more are not told apart
 SMALL_KEYS = 200_000  # templates (8 bytes each) that may be broadcast
 
 # Wordings by which an answer is declined, by language.
@@ -198,17 +198,17 @@ def clusters(openings: DataFrame) -> DataFrame:
 # --- templates that decline --------------------------------------------------------------------------------
 
 
-def _held(keys: DataFrame) -> DataFrame:
+def _held(keys: tuple[DataFrame, int]) -> DataFrame:
     """keys with a broadcast hint if there are at most SMALL_KEYS."""
-    return F.broadcast(keys) if keys.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS else keys
+    return F.broadcast(keys[0]) if keys[1] <= SMALL_KEYS else keys[0]
 
 
-def _marked(said: DataFrame, known: DataFrame) -> DataFrame:
+def _marked(said: DataFrame, known: tuple[DataFrame, int]) -> DataFrame:
     """said with known: whether one of the sentence's templates is."""
-    held = _held(known)
+    held = _held(known).select("key", F.lit(True).alias("_in"))
     out = said
     for c in ("cluster", "head", "tail"):
-        out = out.join(held.select(F.col("key").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+        out = out.join(held.select(F.col("key").alias(c), F.col("_in").alias(f"_{c}")), c, "left")
     return out.withColumn("known", F.coalesce("_cluster", "_head", "_tail", F.lit(False))).drop("_cluster", "_head", "_tail")
 
 
@@ -235,36 +235,46 @@ def template_counts(said: DataFrame) -> DataFrame:
     return out.filter((F.col("n") + A * F.col("prior")) / (F.col("n") + A) >= CLOSED_SHARE)
 
 
-def declining(said: DataFrame) -> DataFrame:
-    """(key, n, closed, company, prior): the templates that decline. said is read again and again, so it should be a written table."""
-    counts = materialise(template_counts(said), "templates")
-    held = _held(counts)
+def _closed(rows: DataFrame, known: tuple[DataFrame, int]) -> DataFrame:
+    """(key, closed, company): prompts of answers in which a template has none but known sentences beside it, and whether (2) or not (1) these are different whole answers."""
+    open_ = F.sum((~F.col("known")).cast("int")).over(Window.partitionBy("id", "field"))
+    shut = _marked(rows, known).withColumn("n_open", open_).filter(F.col("n_open") - (~F.col("known")).cast("int") == 0)
+    each = _by_template(shut, "prompt", "answer").groupBy("key", "prompt").agg(F.min("answer").alias("low"), F.max("answer").alias("high"))
+    return each.groupBy("key").agg(F.count("*").alias("closed"), F.when(F.min("low") < F.max("high"), 2).otherwise(1).alias("company"))
+
+
+def _touched(said: DataFrame, known: tuple[DataFrame, int]) -> tuple[DataFrame, int]:
+    """The sentences, each once, of the answers with a known one; a repeated delivery says nothing more."""
+    any_ = F.max("known").over(Window.partitionBy("id", "field"))
+    return counted(_marked(said, known).withColumn("any", any_).filter("any").drop("known", "any").distinct(), "touched")
+
+
+def declining(said: DataFrame) -> tuple[DataFrame, int]:
+    """(key, n, closed, company, prior) of the templates that decline, and their number. said is read again, so it should be a written table."""
+    counts = counted(template_counts(said), "templates")
     share = lambda c: (F.col(c) + A * F.col("prior")) / (F.col("n") + A)
-    known = materialise(counts.filter(share("most") >= SEED_SHARE).select("key"), "known")
-    size, strict = known.count(), False
+    known = counted(counts[0].filter(share("most") >= SEED_SHARE).select("key"), "known")
+    rows, size = _touched(said, known)
+    strict = False
     while True:
-        marked = _marked(said, known)
-        touched = marked.filter("known").select("id", "field").distinct()
-        rows = marked.join(touched, ["id", "field"], "left_semi").distinct()  # a repeated delivery says nothing more
-        open_ = rows.filter(~F.col("known")).groupBy("id", "field").agg(F.count("*").alias("n_open"))
-        # the only unknown sentence of an answer has none but known ones beside it
-        shut = rows.join(open_, ["id", "field"], "left").filter(F.coalesce("n_open", F.lit(0)) - (~F.col("known")).cast("int") == 0)
-        closed = _by_template(shut, "prompt", "answer").distinct().groupBy("key").agg(F.count_distinct("prompt").alias("closed"), F.count_distinct("answer").alias("company"))
-        judged = closed.join(held, "key").filter(share("closed") >= CLOSED_SHARE)
+        judged = _closed(rows, known).join(_held(counts), "key").filter(share("closed") >= CLOSED_SHARE)
         if strict:
-            judged = judged.filter((F.col("prior") >= (PRIOR + WORDED_PRIOR) / 2) | (F.col("company") >= LEAST_COMPANY)).join(known, "key", "left_semi")
-            new = materialise(judged.select("key", "n", "closed", "company", "prior"), "known")
+            judged = judged.filter((F.col("prior") >= (PRIOR + WORDED_PRIOR) / 2) | (F.col("company") >= LEAST_COMPANY)).join(_held(known).select("key"), "key", "left_semi")
+            new = counted(judged.select("key", "n", "closed", "company", "prior"), "known")
         else:
-            new = materialise(known.select("key").unionByName(judged.select("key")).distinct(), "known")
-        now = new.count()
-        if now == size and strict:
-            return new
-        strict = strict or now == size
-        known, size = new, now
+            new = counted(known[0].select("key").unionByName(judged.select("key")).distinct(), "known")
+        settled = new[1] == known[1]
+        known = new
+        if settled and strict:
+            return known
+        if settled:
+            # templates that were added may stand in answers not looked at
+            more, now = _touched(said, known)
+            strict, rows, size = now == size, more, now
 
 
 def refusals(answers: DataFrame, openings: DataFrame) -> DataFrame:
     """(id, field) of the answers (id, field, prompt, units) of which every sentence but courtesies declines."""
     said = materialise(sentences_said(answers, clusters(openings)), "said")
-    marked = _marked(said, declining(said).select("key"))
+    marked = _marked(said, declining(said))
     return marked.groupBy("id", "field").agg(F.min("known").alias("all_decline")).filter("all_decline").select("id", "field")
