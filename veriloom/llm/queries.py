@@ -133,6 +133,7 @@ ORACLE = {
     "p2_found": f"WITH {_SETS} SELECT a.tbl, a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.tbl = b.tbl AND a.word = b.word AND a.id < b.id GROUP BY ALL HAVING 17 * count(*) >= 7 * (any_value(a.n) + any_value(b.n))",
     "p2_groups": f"""WITH RECURSIVE {_SETS}, l AS (SELECT a.tbl, a.id AS x, b.id AS y FROM w a JOIN w b ON a.tbl = b.tbl AND a.word = b.word AND a.id <> b.id GROUP BY ALL HAVING 17 * count(*) >= 7 * (any_value(a.n) + any_value(b.n))),
 g AS (SELECT DISTINCT tbl, id, id AS reached FROM w UNION SELECT g.tbl, g.id, l.y FROM g JOIN l ON g.tbl = l.tbl AND g.reached = l.x) SELECT tbl, id, min(reached) AS group_id FROM g GROUP BY 1, 2""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p6_found": _LEAKS,
     "p6_items": "SELECT item_id, " + ", ".join(f"count(*) FILTER (WHERE tbl = '{t}') AS n_{t}" for t in ("mcq", "verifiable", "sft", "documents")) + f" FROM ({_LEAKS}) GROUP BY item_id",
 }
