@@ -247,3 +247,20 @@ def test_log_of_a_search(spark):
     many = spark.range(100).selectExpr("id AS process_id", "'q' AS open_question", "'g' AS gold_answer")
     with pytest.raises(TooManyFailures):
         search(many, Broken())
+
+
+def test_steps_text(spark):
+    """As the standard library writes it with an indent of two."""
+    rows = [[("Inner Thinking", "t \"q\"", "é 中\n\tb\\", True), ("Inner Thinking", None, None, True), ("Final Conclusion", None, "c", False), ("Verification", None, "v", False)], [("Verification", None, "v", False)]]
+    df = spark.createDataFrame([(r,) for r in rows], "s array<struct<action:string,title:string,content:string,has_title:boolean>>")
+    want = [[{"action": a} | ({"title": t} if h else {}) | {"content": c} for a, t, c, h in r[:-1]] for r in rows]
+    assert [r[0] for r in df.select(X.steps_json(F.col("s"))).collect()] == [json.dumps(w, ensure_ascii=False, indent=2) for w in want]
+
+
+def test_scores_and_names(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "t string")
+    got = [r[0] for r in df.select(rl.scored(F.col("t"), rl.StubScorer(), batch=1)).collect()]
+    assert got[0] == pytest.approx(rl.StubScorer().logits(["a"])[0]) and got[1] is None and got[2] is not None
+    assert json_files.run_folder("/out/", "r1") == "/out/r1" and json_files.run_folder("/out/r1/x", "r1") == "/out/r1/x"
+    files = spark.createDataFrame([(x,) for x in ("pytorch_model-1.bin", "a.safetensors", "b.index.json", "config.json", "pytorch_model.txt")], "n string")
+    assert [r.n for r in files.filter(json_files.copied(F.col("n"))).collect()] == ["config.json", "pytorch_model.txt"]

@@ -130,9 +130,19 @@ def continued(steps: Column, more: Column) -> Column:
     return F.concat(without_last(steps), more)
 
 
+def json_text(value: Column) -> Column:
+    """A text as a JSON string, other letters than ASCII as they are; null as null."""
+    whole = F.to_json(F.struct(value.alias("v")))  # {"v":"..."}
+    return F.when(value.isNull(), "null").otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
 def steps_json(steps: Column) -> Column:
-    """The steps without the last as JSON; null fields are left out."""
-    return F.to_json(F.transform(without_last(steps), lambda s: F.struct(s["action"].alias("action"), s["title"].alias("title"), s["content"].alias("content"))))
+    """The steps without the last as JSON, indented by two. A title that a step does not have is left out; what it has as null is null."""
+    line = lambda k, v: F.concat(F.lit(f'    "{k}": '), json_text(v))
+    title = lambda s: F.when(s["has_title"], line("title", s["title"]))
+    one = lambda s: F.concat(F.lit("  {\n"), F.concat_ws(",\n", line("action", s["action"]), title(s), line("content", s["content"])), F.lit("\n  }"))
+    kept = without_last(steps)
+    return F.when(F.size(kept) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(F.transform(kept, one), ",\n"), F.lit("\n]")))
 
 
 def valid_steps(steps: Column) -> Column:

@@ -6,7 +6,10 @@ places of a batch (whitening, masked means) is one pre-aggregated grouping by ba
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -65,6 +68,41 @@ def missing_eos_penalty(score: Column, responses: Column, eos: Column | int, pen
     return score if penalty is None else F.when(F.array_contains(responses, eos), score).otherwise(score - penalty)
 
 
+class Scorer(Protocol):
+    """Gives texts a logit each, as a reward model does. Instances are sent to the workers."""
+
+    def logits(self, texts: list[str]) -> list[float]: ...
+
+
+@dataclass(frozen=True)
+class StubScorer:
+    """Reproducible logits from -1 to 1 without a model, by md5 of the text."""
+
+    def logits(self, texts: list[str]) -> list[float]:
+        return [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 1000 / 500 - 1 for t in texts]
+
+
+def scored(text: Column, scorer: Scorer, batch: int = 256) -> Column:
+    """The logit of each text, in Arrow batches; null for a null text."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(texts: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, texts.index, dtype="Float64")
+        out[:] = pd.NA
+        there = texts.index[texts.notna()]
+        for lo in range(0, len(there), batch):
+            part = there[lo : lo + batch]
+            out.loc[part] = scorer.logits(list(texts.loc[part]))
+        return out
+
+    return run(text)
+
+
+def throughput(n: Column, started: Column, ended: Column) -> Column:
+    """Whole episodes a second from start to end; null where no time has passed."""
+    return F.floor(F.try_divide(n, F.unix_timestamp(ended) - F.unix_timestamp(started))).cast("long")
+
+
 def masked_mean(values: Column, mask: Column) -> Column:
     """Aggregate: mean of the values where mask holds; null without any."""
     return F.try_divide(F.sum(F.when(mask, values)), F.sum(mask.cast("int")))

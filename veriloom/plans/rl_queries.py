@@ -83,7 +83,7 @@ def objective(spark: SparkSession, d: str) -> DataFrame:
 
 def reward_rule(spark: SparkSession, d: str) -> DataFrame:
     df = _predictions(spark, d, "output").filter(F.col("output").isNotNull())
-    z = relational.md5_number(F.col("prediction_id").cast("string")) % 1000 / 500 - 1
+    z = rl.scored(F.col("prediction_id").cast("string"), rl.StubScorer())
     p = A.two_class(F.lit(0.0), z)
     form = X.has_answer_format(F.col("output"))
     return df.select("prediction_id", form.alias("well_formed"), A.rule_reward(form, p).alias("reward"), F.md5(X.final_section(F.col("output"))).alias("section"))

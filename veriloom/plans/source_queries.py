@@ -14,11 +14,11 @@ from veriloom.functions import text as X
 from veriloom.operators import answers, extensions, relational, rl, sft
 from veriloom.plans.answer_queries import ORACLE as _ANSWERS
 from veriloom.plans.answer_queries import _extracted
-from veriloom.plans.record_queries import _IDS, _S, _V, _sft, _verifiable
+from veriloom.plans.record_queries import _E, _IDS, _S, _V, _sft, _verifiable
 from veriloom.plans.search import merged
 from veriloom.session import shared_dir, written
 from veriloom.sources import json_files
-from veriloom.sources.tables import load
+from veriloom.sources.tables import latest_delivery, load
 
 _ITEM = "item_id long, source string, question string, answer_idx string, options array<struct<label:string,text:string>>"
 
@@ -156,10 +156,26 @@ def limited_prompts(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).select("item_id", F.md5(kept).alias("digest"))
 
 
+def steps_text(spark: SparkSession, d: str) -> DataFrame:
+    df = latest_delivery(load(spark, d, "search_event", "event_id", "arrived_at", "steps"), "event_id").filter(F.size("steps") > 0)
+    return df.select("event_id", F.md5(X.steps_json(F.col("steps"))).alias("digest"))
+
+
+def throughput(spark: SparkSession, d: str) -> DataFrame:
+    per = load(spark, d, "events", "user_id", "ts").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"))
+    return per.select("user_id", rl.throughput(F.col("n") * 1000000, F.col("a"), F.col("b")).alias("rate"))
+
+
+def copied_files(spark: SparkSession, d: str) -> DataFrame:
+    ending = F.when(F.col("p_size") % 4 == 0, ".bin").when(F.col("p_size") % 4 == 1, ".safetensors").when(F.col("p_size") % 4 == 2, ".index.json").otherwise(".json")
+    name = F.concat(F.when(F.col("p_size") % 3 == 0, F.lit("pytorch_model-")).otherwise("part-"), F.col("p_partkey").cast("string"), ending)
+    return load(spark, d, "part", "p_partkey", "p_size").withColumn("name", name).filter(json_files.copied(F.col("name"))).select("p_partkey", "name")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        array_file, named_file, record_folder, merged_records, stage_table, lines_export, score_file, eos_tokens, eos_penalty, full_batches, first_batch, epoch_rows, bernoulli_sample, appended_batches, concatenated_ids, run_sizes, fixed_split, four_candidates, stage_pivot, limited_prompts,
+        array_file, named_file, record_folder, merged_records, stage_table, lines_export, score_file, eos_tokens, eos_penalty, full_batches, first_batch, epoch_rows, bernoulli_sample, appended_batches, concatenated_ids, run_sizes, fixed_split, four_candidates, stage_pivot, limited_prompts, steps_text, throughput, copied_files,
     )
 }
 
@@ -185,5 +201,9 @@ ORACLE = {
     "fixed_split": "SELECT 'items' AS source, count(*) AS n, count(*) AS stable, true AS near FROM eval_item UNION ALL SELECT 'orders', count(*), count(*), true FROM orders",
     "four_candidates": "SELECT item_id, c AS candidate FROM eval_item, range(4) AS r(c)",
     "stage_pivot": "SELECT event_type, " + ", ".join(f"round(avg(value) FILTER (WHERE user_id % 4 = {i}), 6) AS s{i}" for i in range(4)) + " FROM events GROUP BY 1",
+    "steps_text": f"""WITH {_E}, t AS (SELECT event_id, list_transform(steps[1:len(steps) - 1], lambda s: '  {{' || chr(10) || array_to_string(list_filter(['    "action": ' || coalesce(to_json(s.action)::VARCHAR, 'null'), CASE WHEN s.has_title THEN '    "title": ' || coalesce(to_json(s.title)::VARCHAR, 'null') END, '    "content": ' || coalesce(to_json(s.content)::VARCHAR, 'null')], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '  }}') AS l FROM search_event_1 WHERE len(steps) > 0)
+SELECT event_id, md5(CASE WHEN len(l) = 0 THEN '[]' ELSE '[' || chr(10) || array_to_string(l, ',' || chr(10)) || chr(10) || ']' END) AS digest FROM t""",
+    "throughput": "SELECT user_id, floor(count(*) * 1000000.0 / nullif(epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT, 0))::BIGINT AS rate FROM events GROUP BY 1",
+    "copied_files": "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'pytorch_model-' ELSE 'part-' END || p_partkey || CASE p_size % 4 WHEN 0 THEN '.bin' WHEN 1 THEN '.safetensors' WHEN 2 THEN '.index.json' ELSE '.json' END AS name FROM part WHERE p_size % 4 = 3 OR p_size % 4 = 0 AND p_size % 3 > 0",
     "limited_prompts": r"WITH w AS (SELECT item_id, question, list_filter(string_split_regex(question, '\s+'), lambda x: x <> '') AS w FROM eval_item) SELECT item_id, md5(CASE WHEN len(w) > 40 THEN array_to_string(w[1:40], ' ') ELSE right(question, 40) END) AS digest FROM w",
 }

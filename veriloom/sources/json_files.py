@@ -84,6 +84,23 @@ def named_file(task: str, kind: str, n: int) -> str:
     return f"{task}_{kind}_{n}.json"
 
 
+def run_folder(base: str, run: str) -> str:
+    """Folder of a run: the base, with the run's name behind it unless it is part of it already."""
+    return base if run in base else f"{base.rstrip('/')}/{run}"
+
+
+def checkpoint_name(epoch: int, step: int) -> str:
+    """Name of a checkpoint, by epoch and step."""
+    return f"checkpoint-{epoch}-{step}"
+
+
+# Names of files that hold weights and are not copied along.
+def copied(name: Column) -> Column:
+    """Whether a file of a model's folder is copied along with a checkpoint: all but weights and their indexes."""
+    weights = F.startswith(name, F.lit("pytorch_model")) & F.endswith(name, F.lit(".bin"))
+    return ~(weights | F.endswith(name, F.lit(".index.json")) | F.endswith(name, F.lit(".safetensors")))
+
+
 def task_name(path: str) -> str:
     """File name without folder and extension."""
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".json", 1)[0]
