@@ -197,7 +197,7 @@ ORACLE = {
     "bernoulli_sample": f"SELECT event_id, user_id FROM events WHERE ('0x' || substr(md5(event_id || '|' || (42 + (user_id % 8) * 100003)), 1, 8))::BIGINT < {int(0.1 * 2**32)}",
     "appended_batches": "SELECT 0 AS part, c_nationkey AS nation, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY 2 UNION ALL SELECT 1, s_nationkey, count(*), sum(s_suppkey)::BIGINT FROM supplier GROUP BY 2",
     "concatenated_ids": f"WITH {_S}, t AS (SELECT sft_id, list_concat({_IDS.format('question')}, {_IDS.format('response')}) AS ids FROM sft_1) SELECT sft_id, len(ids)::BIGINT AS n, md5(coalesce(array_to_string(ids, ','), '')) AS ids FROM t",
-    "run_sizes": "SELECT e AS episodes, 128::BIGINT AS batch, ceil(e / 128.0)::BIGINT AS updates, ceil(0.1 * e)::BIGINT AS tenth, 7::BIGINT AS fixed FROM (VALUES (1), (128), (129), (20000)) AS t(e)",
+    "run_sizes": "SELECT e::BIGINT AS episodes, 128::BIGINT AS batch, ceil(e / 128.0)::BIGINT AS updates, ceil(0.1 * e)::BIGINT AS tenth, 7::BIGINT AS fixed FROM (VALUES (1), (128), (129), (20000)) AS t(e)",
     "fixed_split": "SELECT 'items' AS source, count(*) AS n, count(*) AS stable, true AS near FROM eval_item UNION ALL SELECT 'orders', count(*), count(*), true FROM orders",
     "four_candidates": "SELECT item_id, c AS candidate FROM eval_item, range(4) AS r(c)",
     "stage_pivot": "SELECT event_type, " + ", ".join(f"round(avg(value) FILTER (WHERE user_id % 4 = {i}), 6) AS s{i}" for i in range(4)) + " FROM events GROUP BY 1",
